@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.formatting import collapsed, format_copies, parsed_imports, stored_questions
 from lectern.llm.grouping import question_groups
+from lectern.llm.mixing import documents_chosen, mixture, shares_reached
+from lectern.llm.packing import container_summary, packed
+from lectern.llm.reading import LEAST_WORDS, level_profile, reading_levels
 from lectern.llm.similar import similar_pairs
 from lectern.sources.tables import table
 
@@ -32,6 +35,46 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(_records(spark, d))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packed(table(spark, d, "documents"), table(spark, d, "container_specs"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return container_summary(_packed(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return documents_chosen(_mixture(spark, d))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares_reached(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where((F.col("lang") == "en") & (F.col("n_words") >= LEAST_WORDS)).select("doc_id", "level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return level_profile(_levels(spark, d))
+
+
 _P3 = """
 WITH RECURSIVE e AS (
   SELECT left_id AS a, right_id AS b FROM question_matches WHERE score >= 0.7 AND left_id <> right_id
@@ -44,7 +87,7 @@ _RECORDS = r"""
 SELECT 'questions' AS source_table, CAST(id AS BIGINT) AS id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) AS bare, CAST(marks AS DOUBLE) AS marks FROM questions
 UNION ALL SELECT 'question_imports', import_id, lower(regexp_replace(coalesce(payload ->> '$.raw_text', ''), '[^\p{L}\p{N}]', '', 'g')), try_cast(payload ->> '$.marks' AS DOUBLE) FROM question_imports WHERE json_valid(payload)"""
 
-_QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_collapsed": p5_collapsed}
+_QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _SQL = {
     "p3_found": _P3,
