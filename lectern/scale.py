@@ -2,51 +2,82 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
 HOT_SHARE = 256
+#: Fewer rows than this are no burden for one task, whatever their keys.
+HOT_ROWS = 100_000
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(folder)
-        return folder
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        folder = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        sc.setCheckpointDir(folder)
-        return folder
-    return known.get()
+        return folder.rstrip("/")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return _OWN[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the rows to a table in the shared folder and read that.
+
+    Unlike a checkpoint of the plan, the table also cuts what the optimizer has inferred of the rows, which grows
+    with each round of an iterative algorithm.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame | None = None) -> None:
+    """Delete the tables that cut() wrote: those ``df`` reads, or all. Nothing that still needs them may run later."""
+    paths = set(df.inputFiles()) if df is not None else None
+    for entry in list(_WRITTEN):
+        spark, path = entry
+        if paths is not None and not any(path.removeprefix("file://") in p for p in paths):
+            continue
+        _WRITTEN.remove(entry)
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is the cluster's scratch space
+            pass
+
+
+atexit.register(release)
 
 
-def hot_keys(df: DataFrame, key: str, total: int) -> DataFrame:
-    """Keys holding at least 1/HOT_SHARE of ``total`` rows: at most HOT_SHARE rows, whatever the input size."""
-    return df.groupBy(key).count().where(F.col("count") * HOT_SHARE >= F.lit(max(total, HOT_SHARE))).select(key)
+def hot_keys(df: DataFrame, key: str, total: int) -> list:
+    """Keys holding at least 1/HOT_SHARE of ``total`` rows: at most HOT_SHARE values, whatever the input size."""
+    if total < HOT_ROWS:
+        return []
+    return [r[0] for r in df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") * HOT_SHARE >= total).select(key).collect()]
 
 
 def skew_safe_join(big: DataFrame, key: str, small: DataFrame, total: int) -> DataFrame:
-    """Inner join of ``big`` with ``small`` (unique in ``key``) on ``key``, where a few keys may hold most of ``big``.
+    """Inner join of ``big``, of ``total`` rows, with ``small`` (unique in ``key``), where few keys may hold most of ``big``.
 
     Rows of hot keys meet their partner in a broadcast of at most HOT_SHARE rows; all others go through a
-    shuffled join. Both inputs are read twice, so they should be cheap to read (scans or checkpoints).
+    shuffled join. ``big`` is read twice, so it should be cheap to read (a scan or a table from cut()).
     """
     hot = hot_keys(big, key, total)
-    hot_small = F.broadcast(small.join(F.broadcast(hot), key, "left_semi"))
-    return big.join(hot_small, key).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key))
+    if not hot:
+        return big.join(small, key)
+    is_hot = F.col(key).isin(hot)
+    return big.where(is_hot).join(F.broadcast(small.where(is_hot)), key).unionByName(big.where(~is_hot).join(small, key))
 
 
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
