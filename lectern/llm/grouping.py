@@ -11,24 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.scale import cut, skew_safe_join
+from lectern.scale import cut, release, skew_safe_join
 
 
 def _hook(edges: DataFrame) -> DataFrame:
     """(c, p): the smallest neighbour of each component, mutual choices settled in favour of the smaller label."""
-    both = edges.select(F.col("u").alias("c"), F.col("v").alias("p")).unionByName(edges.select(F.col("v").alias("c"), F.col("u").alias("p")))
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("p")), F.struct(F.col("v").alias("c"), F.col("u").alias("p")))).alias("e")).select("e.*")
     chosen = cut(both.groupBy("c").agg(F.min("p").alias("p")))
     theirs = chosen.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-    total = chosen.count()
-    return cut(skew_safe_join(chosen, "p", theirs, total).select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+    tree = cut(skew_safe_join(chosen, "p", theirs, chosen.count()).select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+    release(chosen)
+    return tree
 
 
 def _collapse(tree: DataFrame) -> DataFrame:
     """Pointer doubling until every node points at its root."""
+    total = tree.count()
     while True:
         up = tree.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        total = tree.count()
         jumped = cut(skew_safe_join(tree, "p", up, total).select("c", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        release(tree)
         tree = jumped.select("c", "p")
         if jumped.where("moved").isEmpty():
             return tree
@@ -45,30 +47,30 @@ def connected_groups(pairs: DataFrame, left: str = "left", right: str = "right")
     edges = cut(pairs.where(u != v).select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct())
     rounds: list[DataFrame] = []
     n = edges.count()
+    if not n:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     while n:
         tree = _collapse(_hook(edges))
         rounds.append(tree)
-        end = lambda old, new: tree.select(F.col("c").alias(old), F.col("p").alias(new))  # noqa: B023, E731
-        moved = skew_safe_join(edges, "u", end("u", "a"), n).select("a", "v")
-        moved = skew_safe_join(cut(moved.where("a is not null")), "v", end("v", "b"), n)
-        edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        half = cut(skew_safe_join(edges, "u", tree.toDF("u", "a"), n).select("a", "v"))
+        moved = skew_safe_join(half, "v", tree.toDF("v", "b"), n)
+        fewer = cut(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        release(edges)
+        release(half)
+        edges = fewer
         n = edges.count()
-    if not rounds:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    out = rounds[-1]
-    for tree in reversed(rounds[:-1]):  # from the few labels of the last round back to all nodes
+    out = rounds.pop()
+    while rounds:  # from the few labels of the last round back to all nodes
+        tree = rounds.pop()
         up = out.select(F.col("c").alias("p"), F.col("p").alias("top"))
-        out = cut(skew_safe_or_left(tree, up))
+        met = skew_safe_join(tree, "p", up, tree.count()).select("c", F.col("top").alias("p"))
+        final = cut(met.unionByName(tree.join(up.select("p"), "p", "left_anti").select("c", "p")))  # labels done earlier stay
+        release(out)
+        release(tree)
+        out = final
     return out.select(F.col("c").alias("node"), F.col("p").alias("label"))
 
 
-def skew_safe_or_left(tree: DataFrame, up: DataFrame) -> DataFrame:
-    """Labels of ``tree`` replaced by those of ``up``; labels that later rounds no longer touch stay as they are."""
-    total = tree.count()
-    met = skew_safe_join(tree, "p", up, total).select("c", F.col("top").alias("p"))
-    return met.unionByName(tree.join(up.select("p"), "p", "left_anti").select("c", "p"))
-
-
 #: Group nodes are numbered from here, above every id, so that the smallest node of a component is always an id.
 GROUP_BASE = 1 << 40
 
