@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from lectern.scale import cut, parts_for, skew_safe_join
 
 #: Minima in a signature, trees, and the longest prefix.
-POOL, TREES, DEPTH = 144, 32, 16
+POOL, TREES, DEPTH = 144, 36, 16
 #: Bits of the screening sketch, and how many standard deviations below its expectation a pair may lie.
-SKETCH_BITS, SCREEN_SIGMA = 128, 4.0
+SKETCH_BITS, SCREEN_SIGMA = 128, 3.3
 #: Tree entries a partition aims at, and entries packed at a time.
 PART_ENTRIES, FLUSH_ENTRIES = 3_000_000, 3_000_000
 #: Texts below one node up to which all pairs are candidates; larger nodes are joined block by block, screened there.
@@ -248,7 +248,7 @@ def _crowded_pairs(members: DataFrame, sketch: DataFrame, most: int) -> DataFram
     return spread.groupBy("node", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def similar_sets(texts: DataFrame, threshold: float, target_recall: float = 0.97) -> tuple[DataFrame, DataFrame]:
+def similar_sets(texts: DataFrame, threshold: float, target_recall: float = 0.96) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of representatives whose word sets share at least ``threshold`` of their union, and the
     membership (doc, rep, bare) of every text with a word; its representative is the smallest id with its word set.
 
@@ -280,14 +280,15 @@ def similar_sets(texts: DataFrame, threshold: float, target_recall: float = 0.97
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose distinct words really share ``threshold`` of their union. Each text is shuffled once."""
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), "a", "b"), F.struct(F.col("b").alias("doc"), "a", "b"))).alias("s")).select("s.*")
-    held = sides.join(texts.select(F.col("doc").cast("long").alias("doc"), "text"), "doc").select("a", "b", F.expr(WORDS).alias("w"))
-    both = held.groupBy("a", "b").agg(F.collect_list("w").alias("w"))
-    shared = F.size(F.array_intersect(F.col("w")[0], F.col("w")[1]))
-    union = F.size(F.col("w")[0]) + F.size(F.col("w")[1]) - shared
-    return both.where((F.size("w") == 2) & (shared >= F.lit(threshold) * union - 1e-9)).select("a", "b")
+    held = sides.join(texts.select(F.col("doc").cast("long").alias("doc"), "text"), "doc")
+    both = held.groupBy("a", "b").agg(F.max_by("text", "doc").alias("x"), F.min_by("text", "doc").alias("y"))
+    words = both.select("a", "b", F.expr(WORDS.replace("text", "x")).alias("x"), F.expr(WORDS.replace("text", "y")).alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    counted = words.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("both"))
+    return counted.where(F.col("shared") >= F.lit(threshold) * (F.col("both") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def similar_pairs(texts: DataFrame, threshold: float, target_recall: float = 0.97) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float, target_recall: float = 0.96) -> DataFrame:
     """(id_a, id_b), id_a < id_b: texts of different bare form whose word sets are alike beyond the threshold.
 
     Texts of one word set count as alike when their bare forms differ. Copies of one bare form never meet each other:
