@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from lectern.llm.formatting import collapsed, format_copies, parsed_imports, stored_questions
 from lectern.llm.grouping import question_groups
+from lectern.llm.markup import clean_fields, markup_found
 from lectern.llm.mixing import documents_chosen, mixture, shares_reached
 from lectern.llm.packing import container_summary, packed
 from lectern.llm.reading import LEAST_WORDS, level_profile, reading_levels
+from lectern.llm.scans import defects_found, repaired
 from lectern.llm.similar import similar_pairs
 from lectern.sources.tables import table
 
@@ -23,6 +25,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return question_groups(table(spark, d, "question_matches"), table(spark, d, "questions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects_found(table(spark, d, "questions"), table(spark, d, "notes"), table(spark, d, "note_transcripts"))
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    found = repaired(table(spark, d, "questions"), table(spark, d, "notes"), table(spark, d, "note_transcripts"))
+    return found.select("source_table", "record_id", "clean_text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup_found(table(spark, d, "notes"))
+
+
+def p6_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return clean_fields(table(spark, d, "notes"))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return stored_questions(table(spark, d, "questions")).unionByName(parsed_imports(table(spark, d, "question_imports")))
 
@@ -87,7 +106,7 @@ _RECORDS = r"""
 SELECT 'questions' AS source_table, CAST(id AS BIGINT) AS id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) AS bare, CAST(marks AS DOUBLE) AS marks FROM questions
 UNION ALL SELECT 'question_imports', import_id, lower(regexp_replace(coalesce(payload ->> '$.raw_text', ''), '[^\p{L}\p{N}]', '', 'g')), try_cast(payload ->> '$.marks' AS DOUBLE) FROM question_imports WHERE json_valid(payload)"""
 
-_QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+_QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_clean_text": p6_clean_text, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _SQL = {
     "p3_found": _P3,
