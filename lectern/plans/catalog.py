@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import integrity
+from lectern.plans import analytics, integrity
 
-MODULES = [integrity]
+MODULES = [analytics, integrity]
 
 
 def queries() -> dict:
