@@ -40,6 +40,7 @@ ROMAN = re.compile(r"[-–~\[(]?\s*(?=[ivxl])(?:x{0,3}|xl|l)(?:ix|iv|v?i{0,3})\s
 MARKS_NOTE = re.compile(r"\s*(?:[(\[]\s*(?:marks?\s*:?\s*)?\d{1,3}\s*(?:marks?|m)?\s*[)\]]|[-–]\s*\d{1,3}\s*marks?|\(marks?:|(?<=\d )m(?:arks?)?[)\]])\s*[.]?\Z", re.I)
 #: Words that running heads are made of, fixed values.
 HEAD_WORDS = frozenset("academy board college department exam examination faculty institute lecture notes paper polytechnic school semester term test university".split())
+_MARKS = frozenset(BREAK_MARKS)
 BREAK_END = re.compile(rf"([^\W\d_][\w@+]*(?:-[\w@+]+)*)([{BREAK_MARKS}])\s*\Z")
 HEAD_WORD = re.compile(r"[\w@+]+")
 
@@ -48,10 +49,20 @@ def lines_of(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
+def _without_marks(line: str) -> str:
+    """A line without a note of marks at its end, which then ends a sentence."""
+    if line[-1:] not in (")", "]", "s", "S", "k", "K", "."):
+        return line
+    if PAGE_NUMBER.match(line) and not (line[0] == "(" and line[-1] == ")"):
+        return line
+    found = MARKS_NOTE.search(line[-24:])
+    return line[: len(line) - len(line[-24:]) + found.start()] + "." if found else line
+
+
 def line_features(lines: list[str], page: int | None) -> list[list[str]]:
     """Layout features of each line and its neighbours."""
     plain = [" ".join(x.split()) for x in lines]
-    plain = [MARKS_NOTE.sub("", x) + "." if not PAGE_NUMBER.match(x) and MARKS_NOTE.search(x) or re.match(r"\(\d+\)\Z", x) else x for x in plain]
+    plain = [_without_marks(x) for x in plain]
     every = [w for x in plain for w in x.split() if w[0].isalpha()]
     cased = sum(1 for w in every if w[0].isupper()) > 0.6 * len(every)  # set in capitals throughout: they tell nothing
     width = max((len(x) for x in plain), default=0) or 1
@@ -77,7 +88,7 @@ def line_features(lines: list[str], page: int | None) -> list[list[str]]:
             f.append("lower")
         if not cased and letters and s.upper() == s and sum(map(len, letters)) > 5:
             f.append("upper")
-        if s.rstrip("\"'”’»)")[-1:] in (".", "?", "!", ";") or re.search(r"[.?!:;] ", s) or sum(map(len, letters)) < 6:
+        if s.rstrip("\"'”’»)")[-1:] in (".", "?", "!", ";") or ". " in s or ": " in s or "? " in s or "! " in s or "; " in s or sum(map(len, letters)) < 6:
             f.append("no-head")
         elif not cased and any(w[0].isupper() and w.strip("(),:").lower() in HEAD_WORDS for w in letters):
             f.append("head-word")
@@ -87,13 +98,13 @@ def line_features(lines: list[str], page: int | None) -> list[list[str]]:
                 f.append(f"title{min(len(letters), 4)}")
                 if len(letters) >= 3 and before and after and not before[-1] in ".?!:" and after[0].islower():
                     f.append("title-interrupts")
-        if re.match(r"\d{1,4} +[A-Z]", lines[k].lstrip()) and re.match(r"\s*\d{1,4}\s{2,}", lines[k]) and capital >= 0.5:
+        if capital >= 0.5 and s[0].isdigit() and re.match(r"\s*\d{1,4}\s{2,}[A-Z]", lines[k]):
             f.append("number-then-title")
-        if re.search(r"\|\s*\d{1,4}\s*$", s):
+        if "|" in s and re.search(r"\|\s*\d{1,4}\s*$", s):
             f.append("title-then-number")
-        if re.search(r" [-–/|] ", s) and not ends:
+        if not ends and (" - " in s or " – " in s or " / " in s or " | " in s):
             f.append("separator")
-        if re.search(r"\b(?:19|20)\d\d\b", s) and capital >= 0.5:
+        if capital >= 0.5 and ("19" in s or "20" in s) and re.search(r"\b(?:19|20)\d\d\b", s):
             f.append("year")
         short = len(s) < 0.75 * width
         f.append("short" if short else "wide")
@@ -135,14 +146,25 @@ class LineModel:
     def __init__(self) -> None:
         self.weights: dict[str, np.ndarray] = {}
         self.moves = np.zeros((len(LABELS), len(LABELS)))
+        self.kept: dict | None = None
+
+    def _own(self, f: list[str]) -> np.ndarray:
+        """Score of each label by a line's features; those of a fitted model are kept, as layouts recur."""
+        key = tuple(f) if self.kept is not None else None
+        if key in (self.kept or ()):
+            return self.kept[key]
+        own = sum((self.weights[x] for x in f if x in self.weights), np.zeros(len(LABELS)))
+        own = own + (_NUMERAL if "bare" in f or "decorated" in f else _BLANK if "blank" in f else _TEXT if "no-head" in f else _WORDS)
+        if key is not None and len(self.kept) < 200_000:
+            self.kept[key] = own
+        return own
 
     def labels(self, features: list[list[str]]) -> list[int]:
         """The best label sequence (Viterbi)."""
         none = np.zeros(len(LABELS))
         back, score = [], none
         for k, f in enumerate(features):
-            own = sum((self.weights[x] for x in f if x in self.weights), none)
-            own = own + (_NUMERAL if "bare" in f or "decorated" in f else _BLANK if "blank" in f else _TEXT if "no-head" in f else _WORDS)
+            own = self._own(f)
             if k:
                 ways = score[:, None] + self.moves
                 back.append(ways.argmax(axis=0))
@@ -179,6 +201,7 @@ class LineModel:
                 step += 1
         self.weights = {x: w - total[x] / step for x, w in live.items()}
         self.moves = self.moves - total_moves / step
+        self.kept = {}
         return self
 
 
@@ -302,10 +325,10 @@ class Repairer:
         fix_a, fix_b = self.words.get(a.rpartition("-")[2], 0), self.words.get(b, 0)
         return not (mark == "-" and len(a) > 2 and len(b) > 2 and fix_a > 50 and fix_b > 50)
 
-    def read(self, text: str, page: int | None) -> tuple[list[str], str]:
-        """Defects of a text, and the text repaired."""
+    def read(self, text: str, page: int | None, repair: bool = True) -> tuple[list[str], str]:
+        """Defects of a text, and the text put together, with its misread words repaired where ``repair`` is set."""
         if "\n" not in text and "\r" not in text:
-            return (["misread"] if self.misread(text) else []), self.fixed(text.strip())
+            return (["misread"] if self.misread(text) else []), self.fixed(text.strip()) if repair else text
         lines = lines_of(text)
         labels = self.model.labels(line_features(lines, page))
         plain = [" ".join(x.split()) for x in lines]
@@ -325,9 +348,10 @@ class Repairer:
             if label == 1:
                 gap = True
                 continue
-            broken = BREAK_END.search(held) if held and not gap else None
-            if held and gap and cut_here and BREAK_END.search(held) and s[:1].islower():
-                broken, gap = BREAK_END.search(held), False
+            mark = held[-1:] in _MARKS and BREAK_END.search(held, max(0, len(held) - 80))
+            broken = mark if not gap else None
+            if mark and gap and cut_here and s[:1].islower():
+                broken, gap = mark, False
             if held and gap and cut_here and held[-1] not in ".?!:)]" and s[:1].islower():
                 gap = False  # a sentence runs on behind what stood between
             listed = bool(BARE_NUMBER.match(s))
@@ -353,7 +377,7 @@ class Repairer:
         body = "\n\n".join(kept)
         if self.misread(body):
             defects.add("misread")
-        return sorted(defects), self.fixed(body)
+        return sorted(defects), self.fixed(body) if repair else body
 
 
 def fitted_model(notes: DataFrame, transcripts: DataFrame, most: int = MOST_TRANSCRIPTS) -> LineModel:
@@ -372,8 +396,8 @@ def _records(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return own(questions, "questions").unionByName(own(notes, "notes"))
 
 
-def repaired(questions: DataFrame, notes: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(source_table, record_id, defects, clean_text) of every record with a text.
+def repaired(questions: DataFrame, notes: DataFrame, transcripts: DataFrame, texts: bool = True) -> DataFrame:
+    """(source_table, record_id, defects, clean_text) of every record with a text; clean_text is null unless ``texts``.
 
     defects holds, sorted, ``header`` and ``page_number`` (a line so labelled stands in the text), ``hyphen`` (a word
     broken over a line end that isn't a compound at its own hyphen) and ``misread`` (a word of the body is a frequent
@@ -386,12 +410,12 @@ def repaired(questions: DataFrame, notes: DataFrame, transcripts: DataFrame) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Repairer(words, model)
         for b in batches:
-            found = [reader.read(t, p) for t, p in zip(b["text"].to_pylist(), b["page"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["source_table"], b["record_id"], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.string())], names=["source_table", "record_id", "defects", "clean_text"])
+            found = [reader.read(t, p, texts) for t, p in zip(b["text"].to_pylist(), b["page"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["source_table"], b["record_id"], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] if texts else None for f in found], pa.string())], names=["source_table", "record_id", "defects", "clean_text"])
 
     return rows.mapInArrow(run, "source_table string, record_id int, defects array<string>, clean_text string")
 
 
 def defects_found(questions: DataFrame, notes: DataFrame, transcripts: DataFrame) -> DataFrame:
     """(source_table, record_id, defect): one row for each defect of each record."""
-    return repaired(questions, notes, transcripts).select("source_table", "record_id", F.explode("defects").alias("defect")).distinct()
+    return repaired(questions, notes, transcripts, texts=False).select("source_table", "record_id", F.explode("defects").alias("defect")).distinct()
