@@ -82,12 +82,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares_reached(_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
-def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+def _levels(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"), only=only)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d).where((F.col("lang") == "en") & (F.col("n_words") >= LEAST_WORDS)).select("doc_id", "level")
+    return _levels(spark, d, "lang = 'en'").where(F.col("n_words") >= LEAST_WORDS).select("doc_id", "level")
 
 
 def p10_profile(spark: SparkSession, d: str) -> DataFrame:

@@ -189,8 +189,8 @@ def fitted(documents: DataFrame, graded: DataFrame, most: int = MOST_GRADED) ->
     return Model([r["text"] for r in rows], [r["level"] for r in rows])
 
 
-def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = MOST_GRADED) -> DataFrame:
-    """(doc_id, lang, source, n_words, score, level) of every document with a text and an id.
+def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = MOST_GRADED, only: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, n_words, score, level) of every document with a text and an id, or of those ``only`` holds for.
 
     Null and empty texts have no row. Without graded documents score and level are null. A text without any sentence
     of three words is scored as a whole.
@@ -204,7 +204,7 @@ def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = M
             levels = [model.level(s) if s is not None else None for s in scores]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["source"], pa.array([len(t.split()) for t in texts], pa.int32()), pa.array(scores, pa.float64()), pa.array(levels, pa.int32())], names=["doc_id", "lang", "source", "n_words", "score", "level"])
 
-    rows = documents.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
+    rows = documents.where("doc_id is not null and text <> ''").where(only or "true").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
     return rows.mapInArrow(run, "doc_id long, lang string, source string, n_words int, score double, level int")
 
 
