@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import analytics, integrity
+from lectern.plans import analytics, integrity, papers
 
-MODULES = [analytics, integrity]
+MODULES = [analytics, papers, integrity]
 
 
 def queries() -> dict:
