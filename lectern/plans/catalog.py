@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import analytics, integrity, papers
+from lectern.plans import analytics, integrity, papers, records
 
-MODULES = [analytics, papers, integrity]
+MODULES = [analytics, papers, records, integrity]
 
 
 def queries() -> dict:

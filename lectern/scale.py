@@ -83,3 +83,22 @@ def skew_safe_join(big: DataFrame, key: str, small: DataFrame, total: int) -> Da
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Number of partitions so that each holds about ``per_part`` rows."""
     return max(least, -(-rows // per_part))
+
+
+def dense_ids(df: DataFrame, keys: list[str], name: str, first: int = 1) -> DataFrame:
+    """Distinct ``keys`` with consecutive numbers in their order, without a global window.
+
+    Keys are range-partitioned and sorted; each partition numbers its own rows behind those of the partitions before,
+    whose counts (one number a partition) go over the driver.
+    """
+    from pyspark.sql import Window
+
+    ranged = cut(df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    offsets, at = [], first - 1
+    for part, n in counts:
+        offsets.append((part, at))
+        at += n
+    base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _base long")) if offsets else df.sparkSession.createDataFrame([], "_part int, _base long")
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return ranged.join(base, "_part").withColumn(name, (F.col("_base") + number).cast("long")).select(*keys, name)
