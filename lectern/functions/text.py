@@ -12,6 +12,8 @@ SECTION = r"(?iU)^\s*(SECTION|PART)\s+([A-Z]{1,3}|\d{1,2})\s*[:\-]?"
 Q_PREFIX = r"(?iU)^\s*Q\.?\d+[.)?\s]"
 NUMBERED = r"(?U)^\s*\d{1,2}[.)]\s"
 SUB = r"(?U)^\s*\([a-zA-Z]{1,3}\)\s"
+#: What any of the four begins with.
+MAY_START = r"(?iU)^\s*(?:SECTION|PART|Q\.?\d|\d{1,2}[.)]|\()"
 #: Exam types in the order in which they are tried, fixed values.
 EXAM_TYPES = (
     (r"end[\s\-]+semester", "End Semester"), (r"end[\s\-]+term", "End Semester"), (r"final[\s\-]+exam", "End Semester"), (r"mid[\s\-]+semester", "Mid Semester"), (r"mid[\s\-]+term", "Mid Semester"),
@@ -56,14 +58,18 @@ def join_hyphens(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(?<=\w)-\n(?=\w)", "")
 
 
+#: Whole artifact lines with their line end, for one pass over a text.
+_ARTIFACT_LINES = r"(?dmU)^[^\S\n]*(?=[\d\-Pp\[─━═—–_=~.*])(?:" + PAGE_LINE[5:-1] + "|" + DECORATIVE[1:-1].replace("(?=.{4})", "(?=[^\\n]{4})") + r")[^\S\n]*(?:\n|\z)"
+
+
 def normalize(text: Column, source: Column) -> Column:
     """Line ends, trailing white space, page artifacts, runs of spaces and blank lines; broken words of scanned text.
 
-    Null and empty texts give an empty string.
+    Each step is one expression over the whole text. Null and empty texts give an empty string.
     """
-    lines = F.transform(F.split(line_ends(F.coalesce(text, F.lit(""))), "\n", -1), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    joined = F.array_join(drop_artifacts(lines), "\n")
-    even = F.regexp_replace(F.regexp_replace(joined, " {2,}", " "), "\n{3,}", "\n\n")
+    trimmed = F.regexp_replace(line_ends(F.coalesce(text, F.lit(""))), r"(?U)[^\S\n]+(?=\n|\z)", "")
+    kept = F.regexp_replace(trimmed, _ARTIFACT_LINES, "")
+    even = F.regexp_replace(F.regexp_replace(kept, " {2,}", " "), "\n{3,}", "\n\n")
     return strip(F.when(source == "ocr", join_hyphens(even)).otherwise(even))
 
 

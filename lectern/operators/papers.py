@@ -34,7 +34,8 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 def _marked(lines: Column) -> Column:
     """Lines that are headings or question starts: structs of position, kind and section."""
-    every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), tx.line_kind(x).alias("kind"), tx.section_of(x).alias("section")))
+    few = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda m: m["x"].rlike(tx.MAY_START))
+    every = F.transform(few, lambda m: F.struct(m["i"].alias("i"), tx.line_kind(m["x"]).alias("kind"), tx.section_of(m["x"]).alias("section")))
     return F.filter(every, lambda m: m["kind"].isNotNull())
 
 
@@ -45,13 +46,14 @@ def segments(pages: DataFrame, strict_sections: bool = False) -> DataFrame:
     belong to the question before, unless ``strict_sections`` ends it there. The section is the last heading above, on
     this page or an earlier one of the document. Blank questions and lines before the first one are left out.
     """
-    lines = F.split("normalized_text", "\n", -1)
-    marked = pages.select("document_id", "page_number", lines.alias("lines"), _marked(lines).alias("marked"))
+    # in steps: an expression used twice in one projection, or pushed below it by a filter, would be evaluated twice
+    lined = pages.select("document_id", "page_number", F.split("normalized_text", "\n", -1).alias("lines"))
+    marked = lined.select("document_id", "page_number", "lines", _marked(F.col("lines")).alias("marked"))
     heads = lambda: F.filter("marked", lambda m: m["kind"] == "section")
     last = marked.select("document_id", "page_number", F.try_element_at(heads(), F.lit(-1))["section"].alias("last_section"))
     w = Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select("document_id", "page_number", F.last("last_section", ignorenulls=True).over(w).alias("carried"))
-    starts = marked.withColumns({"starts": F.filter("marked", lambda m: m["kind"] != "section"), "heads": heads()}).where(F.size("starts") > 0)
+    starts = marked.withColumns({"starts": F.filter("marked", lambda m: m["kind"] != "section"), "heads": heads()})
     stops = F.transform("marked", lambda m: m["i"]) if strict_sections else F.transform("starts", lambda m: m["i"])
     rows = starts.withColumn("stops", stops).select("document_id", "page_number", "lines", "heads", "stops", F.posexplode("starts").alias("seg_no", "s"))
     rows = rows.join(carried, ["document_id", "page_number"], "left")
@@ -70,9 +72,14 @@ def headers(pages: DataFrame, n_pages: int = HEADER_PAGES) -> DataFrame:
     return ranked.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda p: p["normalized_text"]), "\n").alias("header"))
 
 
+def first_pages(pages: DataFrame, n_pages: int = HEADER_PAGES) -> DataFrame:
+    """The first pages of each document, before anything is done to their texts."""
+    return pages.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("page_number"))).where(F.col("n") <= n_pages).drop("n")
+
+
 def document_metadata(pages: DataFrame) -> DataFrame:
-    """(document_id, year, exam_type) read from the headers."""
-    return headers(pages).select("document_id", tx.extract_year(F.col("header")).alias("year"), tx.extract_exam_type(F.col("header")).alias("exam_type"))
+    """(document_id, year, exam_type) read from the headers of (document_id, page_number, text, source)."""
+    return headers(normalized_pages(first_pages(pages))).select("document_id", tx.extract_year(F.col("header")).alias("year"), tx.extract_exam_type(F.col("header")).alias("exam_type"))
 
 
 def parsed_questions(pages: DataFrame, global_marks: int | None = None, strict_sections: bool = False) -> DataFrame:
@@ -82,7 +89,7 @@ def parsed_questions(pages: DataFrame, global_marks: int | None = None, strict_s
     validation rules (page below 1, blank text) are left out.
     """
     normal = normalized_pages(pages)
-    found = segments(normal, strict_sections).join(document_metadata(normal), "document_id", "left")
+    found = segments(normal, strict_sections).join(document_metadata(pages), "document_id", "left")
     raw = F.col("raw_text")
     return found.where("page_number >= 1").select(
         "document_id", F.col("page_number").alias("page"), "seg_no", "raw_text", "question_label", "question_type", "section", "year", "exam_type",
