@@ -28,7 +28,7 @@ def _scored(topics: DataFrame, questions: DataFrame, params: Params, min_prior_y
     effort = params.base_effort_hours * params.no_notes_penalty
     base = F.coalesce("weighted", F.lit(0.0)) / F.col("sum_w") / F.lit(effort)
     ratio = (F.col("fold") - F.col("last")) / (F.col("n_prior") / F.col("years_asked"))
-    due = F.coalesce(F.least(ratio, F.lit(params.due_cap)) / F.lit(params.due_cap), F.lit(0.0))
+    due = F.when(ratio.isNotNull(), F.least(ratio, F.lit(params.due_cap)) / F.lit(params.due_cap)).otherwise(0.0)
     return out.select("fold", "n_prior", "topic_id", base.alias("base"), due.alias("due"), F.coalesce("held", F.lit(0)).cast("double").alias("held"))
 
 

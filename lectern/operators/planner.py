@@ -11,13 +11,13 @@ _SLACK = 1e-9
 def plan_choice(stats: DataFrame, days_left: int, hours_per_day: float) -> DataFrame:
     """(rank, topic_id, name, syllabus_unit, hours, needs_notes, priority, chosen) of every topic with a priority.
 
-    Topics are taken by falling priority (ties by topic_id); one that no longer fits is skipped and costs nothing,
+    Topics are taken by falling priority (to 9 decimals, ties by topic_id); one that no longer fits is skipped and costs nothing,
     which no running sum can express, so the fold runs over one sorted array of the syllabus' topics.
     """
     if days_left <= 0 or hours_per_day <= 0:
         raise ValueError("days_left and hours_per_day must both be positive.")
     budget = float(days_left * hours_per_day)
-    item = F.struct((-F.col("priority")).alias("k"), "topic_id", "name", "syllabus_unit", F.col("effort_hours").alias("hours"), (~F.col("has_notes")).alias("needs_notes"), "priority")
+    item = F.struct((-F.round("priority", 9)).alias("k"), "topic_id", "name", "syllabus_unit", F.col("effort_hours").alias("hours"), (~F.col("has_notes")).alias("needs_notes"), "priority")
     ranked = stats.where("priority > 0").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<boolean>").alias("chosen"))
     step = lambda acc, x: F.struct(

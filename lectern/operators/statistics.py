@@ -58,11 +58,12 @@ def topic_stats(topics: DataFrame, questions: DataFrame, note_topics: DataFrame
     require("questions", questions)
     per_year = by_topic_year(questions)
     scalars = years_of(per_year).agg(F.count("*").alias("n_years"), F.max("year").alias("last")).select(
-        F.when(F.col("n_years") > 0, F.col("n_years")).otherwise(F.raise_error(F.lit("No questions with a year found; cannot compute statistics."))).alias("n_years"),
+        "n_years",
         F.coalesce(F.nullif(F.lit(ref_year).cast("int"), F.lit(0)), F.col("last") + 1).alias("ref"),
     )
     weighted = years_of(per_year).crossJoin(F.broadcast(scalars)).select("year", "ref", recency_weight(F.col("ref") - 1 - F.col("year"), params).alias("w"), "n_years")
-    totals = weighted.agg(F.sum("w").alias("sum_w"), F.max("ref").alias("ref"), F.max("n_years").alias("n_years"))
+    none = F.raise_error(F.lit("No questions with a year found; cannot compute statistics.")).cast("long")
+    totals = weighted.agg(F.sum("w").alias("sum_w"), F.max("ref").alias("ref"), F.when(F.count("*") > 0, F.max("n_years")).otherwise(none).alias("n_years"))
     asked = (
         per_year.where(F.col("topic_id").isNotNull()).join(weighted.select("year", "w"), "year").groupBy("topic_id")
         .agg(F.sum("n").alias("n_questions"), F.count("*").alias("years_asked"), F.sum("marks").alias("total_marks"), F.sum(F.col("w") * F.col("marks")).alias("weighted"), F.max("year").alias("last_asked_year"))
@@ -76,7 +77,7 @@ def topic_stats(topics: DataFrame, questions: DataFrame, note_topics: DataFrame
 
     n, years, last = F.coalesce("n_questions", F.lit(0)), F.coalesce("years_asked", F.lit(0)), F.col("last_asked_year")
     ratio = (F.col("ref") - last) / (F.col("n_years") / F.nullif(years, F.lit(0)))
-    due = F.coalesce(F.least(ratio, F.lit(params.due_cap)) / F.lit(params.due_cap), F.lit(0.0))
+    due = F.when(ratio.isNotNull(), F.least(ratio, F.lit(params.due_cap)) / F.lit(params.due_cap)).otherwise(0.0)
     has_notes = F.coalesce("n_notes", F.lit(0)) > 0
     out = out.select(
         "topic_id", "name", "syllabus_unit", n.cast("long").alias("n_questions"), years.cast("long").alias("years_asked"), (years / F.col("n_years")).alias("year_share"),

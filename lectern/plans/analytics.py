@@ -193,7 +193,7 @@ def _stats_ctes(half_life: float | None = 5.0, ref: int | None = None, links: st
     nt AS ({linked}),
     s0 AS (SELECT t.id AS topic_id, t.name, t.syllabus_unit, CAST(coalesce(n_questions, 0) AS BIGINT) AS n_questions, CAST(coalesce(years_asked, 0) AS BIGINT) AS years_asked, coalesce(years_asked, 0) / n_years AS year_share,
         CAST(coalesce(total_marks, 0) AS BIGINT) AS total_marks, coalesce(weighted, 0) / sum_w AS expected_marks, last AS last_asked_year, ref - last AS years_since_last,
-        coalesce(least((ref - last) / (n_years / nullif(years_asked, 0)), 2.0) / 2.0, 0) AS due_score, CAST(coalesce(largest, CASE WHEN n_questions > 0 THEN 1 ELSE 0 END) AS BIGINT) AS max_repeat_count,
+        CASE WHEN last IS NULL THEN 0 ELSE least((ref - last) / (n_years / years_asked), 2.0) / 2.0 END AS due_score, CAST(coalesce(largest, CASE WHEN n_questions > 0 THEN 1 ELSE 0 END) AS BIGINT) AS max_repeat_count,
         CAST(coalesce(n_notes, 0) AS BIGINT) AS n_notes, coalesce(n_notes, 0) > 0 AS has_notes, 2.0 * CASE WHEN coalesce(n_notes, 0) > 0 THEN 1.0 ELSE 1.25 END AS effort_hours
       FROM topics t LEFT JOIN ask ON t.id = ask.topic_id LEFT JOIN rep ON t.id = rep.topic_id LEFT JOIN nt ON t.id = nt.topic_id CROSS JOIN tot),
     st AS (SELECT *, expected_marks / effort_hours AS marks_per_hour, expected_marks / effort_hours * (1 + 0.3 * due_score) AS priority FROM s0)"""
@@ -209,7 +209,7 @@ _TAGGED = "g AS (SELECT DISTINCT n.document_id, t.id AS topic_id, t.name, t.syll
 _PATTERN = "per AS (SELECT year, marks, count(*) AS n FROM vq WHERE year IS NOT NULL AND marks IS NOT NULL GROUP BY 1, 2), grid AS (SELECT y.year, m.marks, coalesce(per.n, 0) AS n FROM (SELECT DISTINCT year FROM per) y CROSS JOIN (SELECT DISTINCT marks FROM per) m LEFT JOIN per ON per.year = y.year AND per.marks = m.marks), pat AS (SELECT marks, CAST(round_even(quantile_cont(n, 0.5), 0) AS BIGINT) AS n FROM grid GROUP BY marks HAVING round_even(quantile_cont(n, 0.5), 0) > 0)"
 
 _PLAN = f"""WITH RECURSIVE {_stats_ctes(ref=2025)},
-    rk AS (SELECT row_number() OVER (ORDER BY priority DESC, topic_id) AS rank, topic_id, name, syllabus_unit, effort_hours AS hours, NOT has_notes AS needs_notes, priority FROM st WHERE priority > 0),
+    rk AS (SELECT row_number() OVER (ORDER BY round(priority, 9) DESC, topic_id) AS rank, topic_id, name, syllabus_unit, effort_hours AS hours, NOT has_notes AS needs_notes, priority FROM st WHERE priority > 0),
     walk AS (SELECT rank, topic_id, hours <= {DAYS * HOURS} + 1e-9 AS chosen, {DAYS * HOURS} - CASE WHEN hours <= {DAYS * HOURS} + 1e-9 THEN hours ELSE 0 END AS rest FROM rk WHERE rank = 1
         UNION ALL SELECT rk.rank, rk.topic_id, rk.hours <= walk.rest + 1e-9, walk.rest - CASE WHEN rk.hours <= walk.rest + 1e-9 THEN rk.hours ELSE 0 END FROM walk JOIN rk ON rk.rank = walk.rank + 1),
     ch AS (SELECT rk.*, walk.chosen FROM rk JOIN walk ON rk.rank = walk.rank)"""
@@ -219,7 +219,7 @@ _FOLDS = f"""WITH {VALID}, py AS (SELECT topic_id, year, coalesce(sum(marks), 0)
     fo AS (SELECT fold, count(*) AS n_prior, sum(w) AS sum_w FROM bf GROUP BY fold HAVING count(*) >= 2),
     ins AS (SELECT py.* FROM py JOIN topics t ON t.id = py.topic_id),
     tr AS (SELECT fold, topic_id, count(*) AS years_asked, sum(w * marks) AS weighted, max(ins.year) AS last FROM ins JOIN bf ON bf.year = ins.year GROUP BY 1, 2),
-    sc AS (SELECT fo.fold, fo.n_prior, t.id AS topic_id, coalesce(weighted, 0) / sum_w / 2.5 AS base, coalesce(least((fo.fold - last) / (n_prior / years_asked), 2.0) / 2.0, 0) AS due, CAST(coalesce(h.marks, 0) AS DOUBLE) AS held
+    sc AS (SELECT fo.fold, fo.n_prior, t.id AS topic_id, coalesce(weighted, 0) / sum_w / 2.5 AS base, CASE WHEN last IS NULL THEN 0 ELSE least((fo.fold - last) / (n_prior / years_asked), 2.0) / 2.0 END AS due, CAST(coalesce(h.marks, 0) AS DOUBLE) AS held
         FROM topics t CROSS JOIN fo LEFT JOIN tr ON tr.fold = fo.fold AND tr.topic_id = t.id LEFT JOIN ins h ON h.year = fo.fold AND h.topic_id = t.id),
     pr AS (SELECT sc.*, d.with_due, round(base * (1 + d.weight * due), 12) AS priority FROM sc CROSS JOIN (VALUES (true, 0.3), (false, 0.0)) d(with_due, weight)),
     ra AS (SELECT *, row_number() OVER (PARTITION BY fold, with_due ORDER BY priority DESC, topic_id) AS place, rank() OVER (PARTITION BY fold, with_due ORDER BY priority) + (count(*) OVER (PARTITION BY fold, with_due, priority) - 1) / 2.0 AS rp,
