@@ -102,3 +102,25 @@ def dense_ids(df: DataFrame, keys: list[str], name: str, first: int = 1) -> Data
     base = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _base long")) if offsets else df.sparkSession.createDataFrame([], "_part int, _base long")
     number = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     return ranged.join(base, "_part").withColumn(name, (F.col("_base") + number).cast("long")).select(*keys, name)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster, once a session, so that they need no installation.
+
+    The archive is made on the driver and handed out by Spark itself; no executor reads a driver's folder.
+    """
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED or sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lectern-")
+    copy = shutil.copytree(root, Path(folder) / "code" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(Path(folder) / root.name), "zip", root_dir=copy.parent, base_dir=root.name))
+    atexit.register(shutil.rmtree, folder, True)
+    _SHIPPED.add(sc.applicationId)
