@@ -176,7 +176,7 @@ def format_copies(rows: DataFrame, bits: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["src"], b["keep_id"], b["copy_id"], pa.array(same)], names=["source_table", "keep_id", "copy_id", "same"])
 
     checked = cut(both.select("src", "keep_id", "copy_id", "copy_text", "keep_text").mapInArrow(check, "source_table string, keep_id long, copy_id long, same boolean"))
-    good = checked.where("same").select("source_table", "keep_id", "copy_id")
+    good = checked.where("same").select("source_table", "keep_id", "copy_id").distinct()
     if checked.where("not same").isEmpty():
         return good
     return good.unionByName(_told_apart(rows, checked.where("not same").select("source_table", F.col("copy_id").alias("id"))))
@@ -186,8 +186,9 @@ def _told_apart(rows: DataFrame, strays: DataFrame) -> DataFrame:
     """Exact sets among rows whose hash met that of a keeper they don't equal."""
     bare = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]", "")
     rest = rows.join(strays, ["source_table", "id"], "left_semi").select("source_table", "id", "marks", bare.alias("bare"))
-    sets = rest.groupBy("source_table", "marks", "bare").agg(F.min("id").alias("keep_id"))
-    return rest.join(sets, (rest["source_table"] == sets["source_table"]) & rest["marks"].eqNullSafe(sets["marks"]) & (rest["bare"] == sets["bare"])).where("id <> keep_id").select(rest["source_table"], "keep_id", F.col("id").alias("copy_id")).distinct()
+    keys = ["source_table", "bare", F.coalesce("marks", F.lit("?null")).alias("m")]
+    sets = rest.groupBy(*keys).agg(F.min("id").alias("keep_id"))
+    return rest.select(*keys, "id").join(sets, ["source_table", "bare", "m"]).where("id <> keep_id").select("source_table", "keep_id", F.col("id").alias("copy_id")).distinct()
 
 
 def number_text(value: object) -> str | None:

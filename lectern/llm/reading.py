@@ -26,6 +26,7 @@ CELLS = 24
 LEAST_WORDS = 60
 
 _BREAK = re.compile(r"(?<=[a-z0-9)\]\"'][.!?;])[ \t]+(?=\S)|\n\s*\n\s*|(?:^|\n)[ \t]*[*•-][ \t]+")
+_MARK = re.compile(r"^\s*[*•-]\s+")
 _ABBREVIATION = re.compile(r"\b(e\.g|i\.e|etc|cf|vs|Fig|Eq|Dr|No)\.")
 _EDGE = ".,;:!?()[]\"'*-"
 
@@ -36,7 +37,7 @@ def sentences(text: str) -> list[str]:
     """Sentences of a text: cut behind sentence ends, at blank lines and at list marks; abbreviations end none.
 
     A single line end cuts nothing, so that a passage set line by line counts once, as one quotation."""
-    return [s for s in _BREAK.split(_ABBREVIATION.sub(r"\1", text)) if s and not s.isspace()]
+    return [_MARK.sub("", s) for s in _BREAK.split(_ABBREVIATION.sub(r"\1", text)) if s and not s.isspace()]
 
 
 def clauses(text: str) -> list[str]:
