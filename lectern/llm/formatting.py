@@ -151,14 +151,13 @@ def format_copies(rows: DataFrame, bits: int = 64) -> DataFrame:
     and all texts without letters or digits are equal. A repeated id counts once. Hot sets of copies are met by
     broadcasts of a bounded number of keepers.
     """
-    keyed = hashed(rows, bits).withColumn("key", F.xxhash64("source_table", "h1", "h2", "marks"))
-    keyed = cut(keyed)
-    # the 64-bit key stands for source, both hashes and marks in the joins; verify() takes a false meeting apart
-    sets = keyed.groupBy("key", "source_table", "marks", "h1", "h2").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("last_id > keep_id")
-    sets = sets.select(F.struct("key", "source_table", F.coalesce("marks", F.lit("")).alias("m"), "h1", "h2").alias("set"), "keep_id")
-    members = keyed.select(F.struct("key", "source_table", F.coalesce("marks", F.lit("")).alias("m"), "h1", "h2").alias("set"), "id", F.col("source_table").alias("src"))
-    total = keyed.count()
-    pairs = cut(skew_safe_join(members, "set", cut(sets), total).where("id <> keep_id").select("src", "keep_id", F.col("id").alias("copy_id")).distinct())
+    parts = ["source_table", "h1", "h2", F.coalesce("marks", F.lit("?null")).alias("m")]
+    keyed = cut(hashed(rows, bits).select(F.xxhash64("source_table", "h1", "h2", "marks").alias("key"), *parts, "id"))
+    sets = keyed.groupBy("key", "source_table", "h1", "h2", "m").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("last_id > keep_id")
+    sets = cut(sets.toDF("key", "s", "k1", "k2", "n", "keep_id", "last_id"))
+    # joined by one number, so that hot sets are found and broadcast by it; then by all parts of the key
+    met = skew_safe_join(keyed, "key", sets, keyed.count()).where("source_table = s and h1 = k1 and h2 = k2 and m = n and id <> keep_id")
+    pairs = cut(met.select(F.col("source_table").alias("src"), "keep_id", F.col("id").alias("copy_id")).distinct())
     n_pairs = pairs.count()
 
     texts = rows.select(F.col("source_table").alias("src"), "id", F.coalesce("text", F.lit("")).alias("text"))

@@ -30,7 +30,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         left, right, h, m, k = out[todo] >> half[todo], out[todo] & mask[todo], half[todo], mask[todo], key[todo].astype(np.uint64)
         for r in range(4):
-            mixed = (right + k + np.uint64(r + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (right + k + np.uint64((r + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
             mixed = mixed * np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((mixed >> np.uint64(24)) & m)

@@ -42,6 +42,7 @@ MARKS_NOTE = re.compile(r"\s*(?:[(\[]\s*(?:marks?\s*:?\s*)?\d{1,3}\s*(?:marks?|m
 HEAD_WORDS = frozenset("academy board college department exam examination faculty institute lecture notes paper polytechnic school semester term test university".split())
 _MARKS = frozenset(BREAK_MARKS)
 BREAK_END = re.compile(rf"([^\W\d_][\w@+]*(?:-[\w@+]+)*)([{BREAK_MARKS}])\s*\Z")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 HEAD_WORD = re.compile(r"[\w@+]+")
 
 
@@ -88,7 +89,7 @@ def line_features(lines: list[str], page: int | None) -> list[list[str]]:
             f.append("lower")
         if not cased and letters and s.upper() == s and sum(map(len, letters)) > 5:
             f.append("upper")
-        if s.rstrip("\"'”’»)")[-1:] in (".", "?", "!", ";") or ". " in s or ": " in s or "? " in s or "! " in s or "; " in s or sum(map(len, letters)) < 6:
+        if s[0] in "|#=<{*" or s.rstrip("\"'”’»)")[-1:] in (".", "?", "!", ";") or ". " in s or ": " in s or "? " in s or "! " in s or "; " in s or sum(map(len, letters)) < 6:
             f.append("no-head")
         elif not cased and any(w[0].isupper() and w.strip("(),:").lower() in HEAD_WORDS for w in letters):
             f.append("head-word")
@@ -296,6 +297,8 @@ class Repairer:
         return best
 
     def misread(self, text: str) -> bool:
+        if "<" in text:
+            text = _TAG.sub(" ", text)  # what stands in a tag is no content
         return any(self.true_word(t) for t in set(TOKEN.findall(text.lower())))
 
     def fixed(self, text: str) -> str:

@@ -55,6 +55,13 @@ def test_copies_even_when_hashes_collide(spark, bits):
     assert sorted(map(tuple, format_copies(df, bits=bits).collect())) == want
 
 
+def test_hot_sets_take_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("lectern.scale.HOT_ROWS", 1)
+    data = [("q", i, ["Define it.", "define IT", "x"][i % 3], "5") for i in range(60)] + [("q", 100 + i, f"t{i}", None) for i in range(40)]
+    want = sorted([("q", 0, i) for i in range(1, 60) if i % 3 < 2] + [("q", 2, i) for i in range(5, 60, 3)])
+    assert sorted(map(tuple, format_copies(rows_of(spark, data)).collect())) == want
+
+
 def test_collapsed_counts(spark):
     df = rows_of(spark, [("q", 1, "A b", "5"), ("q", 2, "ab", "5"), ("q", 3, "AB.", "5"), ("q", 4, "ab", None), ("r", 1, "ab", "5")])
     assert sorted(map(tuple, collapsed(df).collect())) == [("q", 1, 3), ("q", 4, 1), ("r", 1, 1)]
