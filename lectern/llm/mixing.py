@@ -20,6 +20,8 @@ from lectern.scale import cut, parts_for
 
 #: Tokens of a block, slots of an output shard, documents of a numbering bucket, and the most sources.
 BLOCK_TOKENS, SHARD_SLOTS, BUCKET_DOCUMENTS, MOST_SOURCES = 1024, 4096, 20_000, 1_000
+#: Most output shards, whose draws are made on the driver; beyond it shards get more slots.
+MOST_SHARDS = 20_000
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -110,6 +112,7 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str | None = N
     low, high = F.greatest(F.col("begin"), F.col("block_no") * block_tokens), F.least(F.col("end"), (F.col("block_no") + 1) * block_tokens)
     pieces = touched.select("s", "block_no", "doc_id", (low - F.col("begin")).cast("int").alias("first_token"), (high - low).cast("int").alias("n_tokens"))
 
+    shard_slots = max(shard_slots, -(-sum(slots.values()) // MOST_SHARDS))
     drawn = [(shard, number[s], first, n) for shard, s, first, n in shard_counts(slots, shard_slots, seed)]
     plan = spark.createDataFrame(drawn, "shard int, s int, first long, n int").repartition(max(1, min(len(drawn), 256)))
     n_blocks = {number[s]: n for s, n in blocks.items()}
