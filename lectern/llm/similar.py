@@ -218,7 +218,7 @@ def _nodes(blocks: DataFrame, parts: int) -> DataFrame:
             for f, n in zip(first[size > NODE_TEXTS], size[size > NODE_TEXTS]):
                 yield from rows(1, int(n), a=docs[f : f + n], h=np.full(n, keys[f].astype(np.int64)))
 
-    return blocks.repartition(parts, "part").mapInArrow(run, NODES)
+    return blocks.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).mapInArrow(run, NODES)
 
 
 def _crowded_pairs(members: DataFrame, sketch: DataFrame, most: int) -> DataFrame:
