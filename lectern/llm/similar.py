@@ -1,8 +1,9 @@
 """Near-duplicate texts: a MinHash LSH forest over the distinct words of each text, then exact verification.
 
 A signature is POOL minima of hashed words. Each of TREES trees orders all texts by its own sequence of DEPTH minima;
-the texts below one node of its trie share a prefix. Prefixes are shortened from DEPTH until the modelled recall over
-similarities from the threshold to 1 reaches the target, so the prefix depends on the threshold and the target alone.
+the texts below one node of its trie share a prefix. Prefixes are shortened from DEPTH until the recall of pairs right at
+the threshold reaches the target, minima that trees share counted, so the prefix depends on the threshold and the target
+alone. Up to a prefix of POOL / TREES no two trees share a minimum.
 Tree entries travel as sorted packed arrays, one block per partition, not as rows. Texts with equal word sets are one
 node: all but one are dropped within each packed block before the shuffle, and what is left is mapped to one
 representative after it. Candidates are screened by one-bit minima, then verified on their words.
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from lectern.scale import cut, parts_for, skew_safe_join
 
 #: Minima in a signature, trees, and the longest prefix.
-POOL, TREES, DEPTH = 144, 36, 16
+POOL, TREES, DEPTH = 216, 36, 16
 #: Bits of the screening sketch, and how many standard deviations below its expectation a pair may lie.
-SKETCH_BITS, SCREEN_SIGMA = 128, 3.3
+SKETCH_BITS, SCREEN_SIGMA = 128, 4.0
 #: Tree entries a partition aims at, and entries packed at a time.
 PART_ENTRIES, FLUSH_ENTRIES = 3_000_000, 3_000_000
 #: Texts below one node up to which all pairs are candidates; larger nodes are joined block by block, screened there.
@@ -39,12 +40,29 @@ def prefix_length(threshold: float, target: float, trees: int = TREES, depth: in
     return 1
 
 
+def recalls_at(similarity: float, draws: int = 20_000) -> np.ndarray:
+    """Recall of pairs of this similarity at each prefix from 1 to DEPTH, by drawing which minima agree."""
+    _, _, trees = _constants()
+    agree = np.random.default_rng(7).random((draws, POOL), dtype=np.float32) < similarity
+    held, out = np.ones((draws, TREES), dtype=bool), []
+    for k in range(DEPTH):
+        held &= agree[:, trees[:, k]]
+        out.append(float(held.any(axis=1).mean()))
+    return np.array(out)
+
+
+def threshold_prefix(threshold: float, target: float) -> int:
+    """Longest prefix at which pairs right at the threshold are found with the target recall; 1 if none does."""
+    return int(max(1, (recalls_at(threshold) >= target).sum()))
+
+
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     xors = rng.integers(0, 1 << 32, POOL, dtype=np.uint64).astype(np.uint32)
     odds = (rng.integers(0, 1 << 32, POOL, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-    trees = np.stack([rng.permutation(POOL)[:DEPTH] for _ in range(TREES)])
-    return xors, odds, trees
+    k, t = np.arange(DEPTH), np.arange(TREES)[:, None]
+    rows = POOL // TREES
+    return xors, odds, (k % rows) * TREES + (t + k // rows) % TREES
 
 
 def signatures(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -248,13 +266,13 @@ def _crowded_pairs(members: DataFrame, sketch: DataFrame, most: int) -> DataFram
     return spread.groupBy("node", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def similar_sets(texts: DataFrame, threshold: float, target_recall: float = 0.96) -> tuple[DataFrame, DataFrame]:
+def similar_sets(texts: DataFrame, threshold: float, target_recall: float = 0.97) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of representatives whose word sets share at least ``threshold`` of their union, and the
     membership (doc, rep, bare) of every text with a word; its representative is the smallest id with its word set.
 
     Input (doc, text), doc unique. Null texts and texts without words take no part.
     """
-    prefix, most = prefix_length(threshold, target_recall), screen_bits(threshold)
+    prefix, most = threshold_prefix(threshold, target_recall), screen_bits(threshold)
     parts = parts_for(texts.count() * TREES, PART_ENTRIES, 12)
     nodes = cut(_nodes(_tree_blocks(word_sets(texts), prefix, parts), parts))
     known = nodes.where("kind = 2").select("a", "h", "bare", "s0", "s1")
@@ -288,7 +306,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return counted.where(F.col("shared") >= F.lit(threshold) * (F.col("both") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def similar_pairs(texts: DataFrame, threshold: float, target_recall: float = 0.96) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float, target_recall: float = 0.97) -> DataFrame:
     """(id_a, id_b), id_a < id_b: texts of different bare form whose word sets are alike beyond the threshold.
 
     Texts of one word set count as alike when their bare forms differ. Copies of one bare form never meet each other:

@@ -102,3 +102,17 @@ def test_minima_estimate_similarity():
     m = signatures(np.concatenate([a, b]).astype(np.uint32), np.array([0, 100, 200]))
     assert abs((m[:, 0] == m[:, 1]).mean() - 80 / 120) < 0.13
     assert sketches(m).shape == (2, similar.SKETCH_BITS // 8)
+
+
+def test_recall_right_at_the_threshold():
+    rng, n = np.random.default_rng(5), 1500
+    sets = []
+    for _ in range(n):  # 42 of 60 words shared
+        w = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+        sets += [w[:51], np.concatenate([w[:42], w[51:]])]
+    m = signatures(np.concatenate(sets).astype(np.uint32), np.arange(2 * n + 1) * 51)
+    keys = similar.tree_keys(m, similar.threshold_prefix(0.7, 0.97))
+    bits = sketches(m).view(np.uint64)
+    close = np.bitwise_count(bits[::2] ^ bits[1::2]).sum(axis=1) <= screen_bits(0.7)
+    assert ((keys[:, ::2] == keys[:, 1::2]).any(axis=0) & close).mean() > 0.97
+    assert similar.threshold_prefix(0.7, 0.97) < similar.threshold_prefix(0.9, 0.97)
