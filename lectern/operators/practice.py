@@ -46,7 +46,7 @@ def practice_set(topics: DataFrame, questions: DataFrame, params: Params = DEFAU
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     w = F.when(F.col("all_weight") > 0, F.col("weight")).otherwise(F.lit(1.0)) / F.col("of_topic")
     keyed = pool.join(sizes.drop("tw"), ["marks", "topic_id"]).join(value, "marks").join(pattern, "marks").where(w > 0).withColumn("key", -F.log(u) / w)
-    most = 1_000  # slots of one marks value; medians of a paper are far below
+    most = pattern.agg(F.max("slots")).first()[0] or 0  # a literal, so that rows no value needs go before the shuffle
     rank = F.row_number().over(Window.partitionBy("marks").orderBy("key", "id"))
     best = keyed.withColumn("place", rank).where(F.col("place") <= most).where(F.col("place") <= F.col("slots"))
     drawn = best.groupBy("marks").agg(F.max("place").alias("n_drawn"))

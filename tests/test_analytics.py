@@ -146,6 +146,13 @@ def test_practice_reuses_a_small_pool(spark):
     assert len(drawn) == 3 and sorted(r["reused"] for r in drawn) == [False, True, True]
 
 
+def test_practice_reuses_nothing_while_the_pool_suffices(spark):
+    topics, _ = predictable(spark)
+    rows = [(i, 2023, 1 + i % 2, 5, "t", None) for i in range(1100)] + [(i, 2023, 1, 10, "t", None) for i in range(1100, 1103)]
+    drawn = practice.practice_set(topics, spark.createDataFrame(rows, Q)).collect()
+    assert len(drawn) == len({r["question_id"] for r in drawn}) == 1103 and not any(r["reused"] for r in drawn)
+
+
 def test_timeline(spark):
     topics = spark.createDataFrame([(1, "A", "Unit 1"), (2, "B", "Unit 1")], "id int, name string, syllabus_unit string")
     notes = spark.createDataFrame([(1, 101, "2026-08-10"), (2, 101, "2026-08-10"), (3, 102, "2026-08-05"), (4, 103, None), (5, 104, "2026-08-10"), (6, 104, "2026-08-05")], "id int, document_id int, lecture_date string")
