@@ -11,6 +11,7 @@ from lectern.operators import backtest, coverage, planner, practice, timeline
 from lectern.operators.hints import with_hints
 from lectern.operators.statistics import legacy_note_topics, topic_stats
 from lectern.params import DEFAULT
+from lectern.plans import analytics
 
 FLAT = replace(DEFAULT, recency_half_life_years=None)
 Q = "id int, year int, topic_id int, marks int, text string, repeat_group_id int"
@@ -128,6 +129,13 @@ def test_backtest_of_too_few_years(spark):
     assert folds.count() == 0 and backtest.due_score_comparison(folds).first()["verdict"] == "not enough data"
 
 
+def test_frequent_query_reads_all_links(spark, tmp_path):
+    spark.createDataFrame([(i, f"T{i}", "U") for i in (1, 2, 3)], "id int, name string, syllabus_unit string").write.parquet(f"{tmp_path}/topics.parquet")
+    spark.createDataFrame([(10 * y + t, y, t, 5, "t", None) for y in (2021, 2022, 2023) for t in (1, 2, 3)], Q).withColumn("page", F.lit(1)).write.parquet(f"{tmp_path}/questions.parquet")
+    spark.createDataFrame([(1, 1), (2, 3)], "note_id int, topic_id int").write.parquet(f"{tmp_path}/note_topics.parquet")
+    assert [r["topic_id"] for r in analytics.q_frequent(spark, str(tmp_path)).collect()] == [2]
+
+
 def test_practice(spark):
     topics, _ = predictable(spark)
     rows = [(1, 2023, 1, 5), (2, 2023, 1, 10), (3, 2024, 2, 5), (4, 2024, 99, 10), (5, 2024, 1, None)]
