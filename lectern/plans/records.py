@@ -237,9 +237,12 @@ def _note_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_upsert_notes(spark: SparkSession, d: str) -> DataFrame:
+    """All stored pages, with every third page changed and one page added after the last of each document."""
     base = _note_pages(spark, d)
-    new = base.where("page % 3 = 0").select("document_id", "page", F.upper("text").alias("text"), "latex", F.lit(0.9).alias("confidence"), F.when(F.col("page") % 2 == 0, F.lit("")).otherwise(F.col("lecture_date")).alias("lecture_date"), F.when(F.col("page") % 4 == 0, F.lit("2024-01-01")).alias("taken_at"))
-    return mutations.upsert_notes(base.where("page % 2 = 0"), new)
+    added = base.groupBy("document_id").agg((F.max("page") + 1).cast("int").alias("page"), F.max_by(F.struct("lecture_date", "text", "latex"), "page").alias("r")).select("document_id", "page", "r.*")
+    delta = base.where("page % 3 = 0").select("document_id", "page", "lecture_date", "text", "latex").unionByName(added.where("page is not null"))
+    new = delta.select("document_id", "page", F.upper("text").alias("text"), "latex", F.lit(0.9).alias("confidence"), F.when(F.col("page") % 2 == 0, F.lit("")).otherwise(F.col("lecture_date")).alias("lecture_date"), F.when(F.col("page") % 4 == 0, F.lit("2024-01-01")).alias("taken_at"))
+    return mutations.upsert_notes(base, new)
 
 
 def q_defaults(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import exports, mutations, pages
 from lectern.operators.seams import embedded, pdf_pages, run_kernel, scanned_text, structured_notes
+from lectern.plans import records
 
 WORDS = "document_id int, page_number int, region_id string, word_id string, text string, confidence double, x int, y int, line_id int, corrected boolean"
 EQS = "document_id int, page_number int, region_id string, latex string, confidence double, render_ok boolean, corrected boolean, x int, y int"
@@ -129,3 +130,11 @@ def test_corners_and_shares(spark):
     boxes = spark.createDataFrame([(1, "ab cdef", 10, 70), (2, "", 0, 5)], "box_id int, text string, x int, w int")
     assert [tuple(r) for r in pages.split_by_share(boxes).orderBy("pos").collect()] == [(1, 0, "ab", 10, 20), (1, 1, "cdef", 40, 40)]
     assert [r[0] for r in spark.createDataFrame([(1.7,), (-0.1,), (0.33333,)], "v double").select(pages.scaled(F.col("v"), 1.0)).collect()] == [1.0, 0.0, 0.3333]
+
+
+def test_upsert_query_keeps_all_stored_pages(spark, tmp_path):
+    rows = [(p, 1, p, "2023-01-01", f"t{p}", None, 0.5) for p in range(1, 8)]
+    spark.createDataFrame(rows, "id int, document_id int, page int, lecture_date string, text string, latex string, confidence double").write.parquet(f"{tmp_path}/notes.parquet")
+    got = {r["page"]: (r["text"], r["lecture_date"]) for r in records.q_upsert_notes(spark, str(tmp_path)).collect()}
+    old = {p: (f"t{p}", "2023-01-01") for p in (1, 2, 4, 5, 7)}
+    assert got == old | {3: ("T3", "2023-01-01"), 6: ("T6", "2023-01-01"), 8: ("T7", "2024-01-01")}
