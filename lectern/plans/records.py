@@ -282,7 +282,7 @@ def q_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edited(spark: SparkSession, d: str) -> DataFrame:
-    return _q(spark, d).where(F.col("cleaned_text").isNotNull() & F.col("text").rlike(r"^\p{ASCII}*$") & F.col("cleaned_text").rlike(r"^\p{ASCII}*$"))
+    return _q(spark, d).where(F.col("text").isNotNull() & F.col("cleaned_text").isNotNull())
 
 
 def q_levenshtein(spark: SparkSession, d: str) -> DataFrame:

@@ -138,3 +138,21 @@ def test_upsert_query_keeps_all_stored_pages(spark, tmp_path):
     got = {r["page"]: (r["text"], r["lecture_date"]) for r in records.q_upsert_notes(spark, str(tmp_path)).collect()}
     old = {p: (f"t{p}", "2023-01-01") for p in (1, 2, 4, 5, 7)}
     assert got == old | {3: ("T3", "2023-01-01"), 6: ("T6", "2023-01-01"), 8: ("T7", "2024-01-01")}
+
+
+def test_edit_distances_of_any_script(spark, tmp_path):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("caf\u00e9", "cafe"), ("a\u2014b", "a-bc"), ("\u201cq\u201d", '"q"'), ("plain", "plan")]
+    rows = [(i, *p) for i, p in enumerate(pairs)] + [(8, None, "x"), (9, "x", None)]
+    spark.createDataFrame(rows, "id int, text string, cleaned_text string").write.parquet(f"{tmp_path}/questions.parquet")
+    want = [(i, distance(a, b)) for i, (a, b) in enumerate(pairs)]
+    assert sorted(map(tuple, records.q_levenshtein(spark, str(tmp_path)).collect())) == want
+    got = records.q_formula_errors(spark, str(tmp_path)).first()
+    assert got["samples"] == 4 and got["normalized_edit_distance"] == round(sum(n for _, n in want) / sum(len(a) for a, _ in pairs), 4)
