@@ -34,7 +34,7 @@ INLINE_CODE = re.compile(r"(?<![`\\])(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
 DRIVE_PATH = re.compile(r"\b[A-Za-z]:(?:\\[\w.$~-]+)+\\?|\\\\[\w.-]+(?:\\[\w.$~-]+)+")
 COMMAND = re.compile(r"(?<![\\\w])\\(?:begin|end)\{[A-Za-z]+\*?\}|(?<![\\])\\[A-Za-z]{2,}\*?(?![A-Za-z])")
 DISPLAY = re.compile(r"\$\$(?=[^$]*\S)[^$]+\$\$|(?<!\\)\\\[.+?\\\]|(?<!\\)\\\(.+?\\\)", re.S)
-DOLLAR = re.compile(r"(?<![\\$\w])\$(?=\S)([^$\n]{1,200}?)(?<=[^\s\\])\$(?![\d$\w])")
+DOLLAR = re.compile(r"(?<![\\$\w])\$(?=\S)([^$\n]++(?:\n(?![ \t]*\n)[^$\n]++)*+)(?<=[^\s\\])\$(?![\d$\w])")
 BOLD = re.compile(r"(?<![*\w\\])\*\*(?=[^\s*])[^*\n]*?[^\s*]\*\*(?![*\w])|(?<![\w\\])__(?=[^\s_])[^_\n]*?[^\s_]__(?!\w)|~~(?=\S)[^~\n]+?\S~~")
 LINK = re.compile(r"!?\[[^\]\n]*\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)|^\[[^\]\n]+\]:\s+\S+|\[[^\]\n]+\]\[[^\]\n]+\]", re.M)
 TABLE_RULE = re.compile(r"^\s*\|?[ ]*:?-{3,}:?[ ]*(?:\|[ ]*:?-{3,}:?[ ]*)+\|?\s*$", re.M)
@@ -87,7 +87,7 @@ def found_markup(text: str | None) -> list[str]:
         rest = INLINE_CODE.sub(" ", rest)
     if _is_latex(rest):
         out.add("latex")
-    rest = DISPLAY.sub(_blank, DOLLAR.sub(" ", rest))
+    rest = DISPLAY.sub(_blank, DOLLAR.sub(_blank, rest))
     if COMMENT.search(rest) or TAG.search(rest) or any(_is_entity(e[0]) for e in ENTITY.finditer(rest)):
         out.add("html")
     rest = COMMENT.sub(_blank, rest)

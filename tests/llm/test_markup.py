@@ -44,3 +44,10 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "id int, text string, latex string, markup string")
     assert sorted(map(tuple, markup_found(df).collect())) == [(1, "latex", "latex"), (1, "text", "html")]
     assert clean_fields(df).count() == 5 and markup_found(df.where("false")).count() == 0
+
+
+def test_long_and_wrapped_formulas():
+    from lectern.llm.markup import DOLLAR
+
+    assert DOLLAR.search("so $" + "a + " * 80 + "b$ holds") and DOLLAR.search("so $a +\nb$ holds")
+    assert not DOLLAR.search("pay $5\n\nfor b$ here") and not DOLLAR.search("pay $5\nor $6 here") and not DOLLAR.search("$a\n$ b")
