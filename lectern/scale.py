@@ -19,10 +19,20 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder that all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder, as one machine runs all; any other master raises,
+    since rows written to the disks of separate executors would be lost silently.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
     return _OWN[0]
@@ -43,10 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(df: DataFrame | None = None) -> None:
     """Delete the tables that cut() wrote: those ``df`` reads, or all. Nothing that still needs them may run later."""
-    paths = set(df.inputFiles()) if df is not None else None
+    paths = {p.removeprefix("file:").lstrip("/") for p in df.inputFiles()} if df is not None else None
     for entry in list(_WRITTEN):
         spark, path = entry
-        if paths is not None and not any(path.removeprefix("file://") in p for p in paths):
+        if paths is not None and not any(path.removeprefix("file:").lstrip("/") in p for p in paths):
             continue
         _WRITTEN.remove(entry)
         try:
