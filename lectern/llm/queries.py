@@ -12,7 +12,7 @@ from lectern.llm.mixing import documents_chosen, mixture, shares_reached
 from lectern.llm.packing import container_summary, packed
 from lectern.llm.reading import LEAST_WORDS, level_profile, reading_levels
 from lectern.llm.scans import defects_found, repaired
-from lectern.llm.similar import similar_pairs
+from lectern.llm.similar import similar_groups, similar_pairs
 from lectern.sources.tables import table
 
 
@@ -21,6 +21,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(texts, 0.7).select(F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "questions").select(F.col("id").alias("doc"), "text")
+    return similar_groups(texts, 0.7).select(F.col("doc").cast("int").alias("question_id"), F.col("rep").cast("int").alias("same_words_id"), F.col("group_id").cast("int").alias("group_id"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return question_groups(table(spark, d, "question_matches"), table(spark, d, "questions"))
 
@@ -106,7 +111,7 @@ _RECORDS = r"""
 SELECT 'questions' AS source_table, CAST(id AS BIGINT) AS id, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g')) AS bare, CAST(marks AS DOUBLE) AS marks FROM questions
 UNION ALL SELECT 'question_imports', import_id, lower(regexp_replace(coalesce(payload ->> '$.raw_text', ''), '[^\p{L}\p{N}]', '', 'g')), try_cast(payload ->> '$.marks' AS DOUBLE) FROM question_imports WHERE json_valid(payload)"""
 
-_QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_clean_text": p6_clean_text, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
+_QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p4_found": p4_found, "p4_paragraphs": p4_paragraphs, "p5_found": p5_found, "p5_collapsed": p5_collapsed, "p6_found": p6_found, "p6_clean_text": p6_clean_text, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_documents": p9_documents, "p9_shares": p9_shares, "p10_found": p10_found, "p10_profile": p10_profile}
 
 _SQL = {
     "p3_found": _P3,

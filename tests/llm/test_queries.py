@@ -10,7 +10,7 @@ from tests.oracle import connection, same
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 COLUMNS = {
-    "p2_found": "id_a int, id_b int", "p3_found": "group_id int, question_id int", "p4_found": "source_table string, record_id int, defect string", "p5_found": "source_table string, keep_id bigint, copy_id bigint",
+    "p2_found": "id_a int, id_b int", "p2_groups": "question_id int, same_words_id int, group_id int", "p3_found": "group_id int, question_id int", "p4_found": "source_table string, record_id int, defect string", "p5_found": "source_table string, keep_id bigint, copy_id bigint",
     "p6_found": "note_id int, field_name string, markup string", "p10_found": "doc_id bigint, level int",
 }
 
