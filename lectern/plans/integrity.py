@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.quality import column_profile, load_statistics, quality_findings
+from lectern.operators.quality import column_profile, load_changes, load_statistics, quality_findings
 from lectern.operators.references import Reference, orphan_references, orphans_by_month
 from lectern.sources.tables import table
 
@@ -64,6 +64,21 @@ def p7_load_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("load_no", "n_rows", *(F.round(c, 6).alias(c) for c in stats.columns[2:]))
 
 
+def p7_load_changes(spark: SparkSession, d: str) -> DataFrame:
+    changes = load_changes(table(spark, d, "questions"))
+    return changes.select("load_no", "column_name", "n_rows", *(F.round(c, 6).alias(c) for c in changes.columns[3:]))
+
+
+_KINDS = {"id": "i", "question_id": "s", "document_id": "i", "page": "i", "text": "s", "year": "i", "exam_type": "s", "section": "s", "marks": "i", "is_compulsory": "b", "cleaned_text": "s", "topic_id": "i", "repeat_group_id": "i", "created_at": "t", "load_no": "i"}
+
+
+def _changes_sql() -> str:
+    size = {"i": "{}", "s": "length({})", "b": "CAST({} AS INT)", "t": "CAST(NULL AS INT)"}
+    parts = [f"SELECT load_no, '{c}' AS column_name, count(*) AS n_rows, 1 - count({c}) / count(*) AS s, avg({size[k].format(c)}) AS m FROM questions WHERE load_no IS NOT NULL GROUP BY load_no" for c, k in _KINDS.items() if c != "load_no"]
+    return f"""SELECT load_no, column_name, n_rows, round(s, 6) AS null_share, round(m, 6) AS mean, round(s - lag(s) OVER w, 6) AS null_share_change, round(m / nullif(lag(m) OVER w, 0), 6) AS mean_ratio
+        FROM ({" UNION ALL ".join(parts)}) WINDOW w AS (PARTITION BY column_name ORDER BY load_no)"""
+
+
 _P7_FOUND = r"""
 WITH s AS (SELECT load_no, avg(CASE WHEN marks IS NULL THEN 1.0 ELSE 0.0 END) AS marks, avg(CASE WHEN year IS NULL THEN 1.0 ELSE 0.0 END) AS year,
                   avg(CASE WHEN section IS NULL THEN 1.0 ELSE 0.0 END) AS section, avg(CASE WHEN marks BETWEEN 1 AND 100 THEN marks END) AS mean
@@ -79,22 +94,22 @@ UNION ALL SELECT 'load', 'section', CAST(load_no AS VARCHAR) FROM l WHERE sectio
 
 
 def _profile_sql() -> str:
-    kinds = {"id": "i", "question_id": "s", "document_id": "i", "page": "i", "text": "s", "year": "i", "exam_type": "s", "section": "s", "marks": "i", "is_compulsory": "b", "cleaned_text": "s", "topic_id": "i", "repeat_group_id": "i", "created_at": "t", "load_no": "i"}
     bad = {"marks": "marks < 1 OR marks > 100", "year": "year < 1990 OR year > 2099", "section": "NOT regexp_full_match(section, '[A-Z]{1,3}|[0-9]{1,2}')"}
     parts = []
-    for c, kind in kinds.items():
+    for c, kind in _KINDS.items():
         value = f"epoch_us({c})" if kind == "t" else c
         parts.append(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_nulls, count(DISTINCT {c}) AS n_distinct, CAST(min({value}) AS VARCHAR) AS min_value, CAST(max({value}) AS VARCHAR) AS max_value, count(*) FILTER ({bad.get(c, 'false')}) AS n_violations FROM questions")
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p7_found": p7_found, "p7_column_profile": p7_column_profile, "p7_load_statistics": p7_load_statistics}
+QUERIES = {"p1_found": p1_found, "p1_orphans_by_month": p1_orphans_by_month, "p7_found": p7_found, "p7_column_profile": p7_column_profile, "p7_load_statistics": p7_load_statistics, "p7_load_changes": p7_load_changes}
 
 SQL = {
     "p1_found": f"SELECT DISTINCT ref_field, row_key, kind FROM ({_orphan_sql()})",
     "p1_orphans_by_month": f"SELECT ref_field, strftime(created_at, '%Y-%m') AS month, kind, count(*) AS n_refs FROM ({_orphan_sql()}) GROUP BY ALL",
     "p7_found": _P7_FOUND,
     "p7_column_profile": _profile_sql(),
+    "p7_load_changes": _changes_sql(),
     "p7_load_statistics": """SELECT load_no, count(*) AS n_rows, round(avg(CASE WHEN marks IS NULL THEN 1.0 ELSE 0.0 END), 6) AS marks_null_share,
         round(avg(CASE WHEN year IS NULL THEN 1.0 ELSE 0.0 END), 6) AS year_null_share, round(avg(CASE WHEN section IS NULL THEN 1.0 ELSE 0.0 END), 6) AS section_null_share,
         round(avg(CASE WHEN marks BETWEEN 1 AND 100 THEN marks END), 6) AS marks_mean FROM questions WHERE load_no IS NOT NULL GROUP BY load_no""",

@@ -1,13 +1,14 @@
-"""Parquet footers and dictionary pages as a DataFrame: what a file tells about its columns without a scan.
+"""Parquet footers, dictionary pages and single column chunks as DataFrames.
 
 Footers are read where the tasks run, one row group and column a row. Dictionary pages are decoded from their bytes
 (page headers in Thrift's compact form), so that the distinct values of a chunk are known without its data pages.
+Chunks about which neither tells enough are read alone: no other row group and no other column is opened.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Dictionaries of more bytes than this are not sent on; their chunk counts as not described.
 MAX_DICTIONARY_BYTES = 1 << 20
 
+#: Names that Hadoop gives to file systems which pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "maprfs": "hdfs"}
+
 SCHEMA = "path string, row_group int, column_name string, n_rows long, n_nulls long, min_value string, max_value string, complete boolean, items array<string>"
 
 
@@ -126,6 +130,33 @@ def _text(value: object) -> str | None:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
+def opened(path: str) -> pa.NativeFile:
+    """The file behind a path as Spark writes it: a plain path, or a URI by Hadoop's or pyarrow's name of the system."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return pafs.LocalFileSystem().open_input_file(path)
+    system, inner = pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return system.open_input_file(inner)
+
+
+def spread(spark: SparkSession, files: int) -> int:
+    """Partitions for work on the chunks of so many files: set by number, as rows that name chunks are too small to tell."""
+    return max(1, min(4 * files, max(4 * spark.sparkContext.defaultParallelism, files // 4)))
+
+
+def read_chunks(chunks: DataFrame, extra: list[str], answer: Callable[[dict, pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """For each row of ``chunks`` (path, row_group, column_name, ...) what ``answer`` makes of that chunk alone, read
+    together with the columns ``extra`` of the same row group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with opened(row["path"]) as source:
+                    yield answer(row, pq.ParquetFile(source).read_row_group(row["row_group"], columns=[*dict.fromkeys([*extra, row["column_name"]])], use_threads=False))
+
+    return chunks.mapInArrow(run, schema)
+
+
 def footers(spark: SparkSession, paths: list[str], columns: list[str], dictionaries: list[str]) -> DataFrame:
     """A row for each file, row group and column: rows, exact nulls and extrema where the footer has them, and for
     ``dictionaries`` the decoded dictionary with whether it covers the chunk. Missing statistics are null."""
@@ -133,9 +164,8 @@ def footers(spark: SparkSession, paths: list[str], columns: list[str], dictionar
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                system, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
                 rows = []
-                with system.open_input_file(inner) as source:
+                with opened(path) as source:
                     meta = pq.ParquetFile(source).metadata
                     for g in range(meta.num_row_groups):
                         group = meta.row_group(g)

@@ -4,8 +4,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lectern.operators.quality import broken_values, column_profile, load_shifts, quality_findings, suspect_files
-from lectern.sources.footers import footers
+from lectern.operators.quality import broken_values, column_profile, load_shifts, load_changes, quality_findings, suspect_chunks
+from lectern.sources.footers import footers, opened
 
 COLUMNS = pa.schema([("id", pa.int32()), ("marks", pa.int32()), ("year", pa.int32()), ("section", pa.string()), ("load_no", pa.int32()), ("check_name", pa.string())])
 
@@ -30,11 +30,16 @@ def test_broken_values_whatever_the_file_tells(spark, tmp_path, how):
     assert got == VALUES
 
 
-def test_clean_files_are_not_scanned(spark, tmp_path):
-    written(tmp_path, CLEAN, "clean")
-    path = written(tmp_path, DIRTY, "dirty")
-    suspects = suspect_files(spark, path)
-    assert {c: [p.rsplit("/", 1)[1] for p in ps] for c, ps in suspects.items()} == {c: ["dirty.parquet"] for c in ("marks", "year", "section")}
+def test_clean_chunks_are_not_read(spark, tmp_path, monkeypatch):
+    path = written(tmp_path, CLEAN + [(10, 5, 2020, "a", 0, "x")] * 2, row_group_size=4)
+    got = sorted((r["row_group"], r["column_name"]) for r in suspect_chunks(spark, path).collect())
+    assert got == [(1, "section")]
+    assert [tuple(r) for r in broken_values(spark, path).collect()] == [("value", "section", "10")]
+
+
+def test_paths_by_any_name_of_their_system(tmp_path):
+    (tmp_path / "x").write_bytes(b"abc")
+    assert opened(str(tmp_path / "x")).read() == opened(f"file:{tmp_path}/x").read() == opened(f"file://{tmp_path}/x").read() == b"abc"
 
 
 def test_dictionaries_are_decoded(spark, tmp_path):
@@ -69,3 +74,12 @@ def test_shifts(spark):
     df = spark.createDataFrame(rows, "id int, marks int, year int, section string, load_no int")
     got = sorted((r["column_name"], r["item_key"]) for r in load_shifts(df).collect())
     assert got == [("marks", "3"), ("section", "4")]
+
+
+def test_changes_of_every_column(spark):
+    rows = [(1, 10, None, "ab", 0), (2, 20, 2000, None, 0), (3, 30, None, None, 2), (4, None, None, None, 2), (5, 1, 1, "a", None)]
+    df = spark.createDataFrame(rows, "id int, marks int, year int, section string, load_no int")
+    got = {(r["load_no"], r["column_name"]): (r["n_rows"], r["null_share"], r["mean"], r["null_share_change"], r["mean_ratio"]) for r in load_changes(df).collect()}
+    assert got[0, "marks"] == (2, 0.0, 15.0, None, None) and got[2, "marks"] == (2, 0.5, 30.0, 0.5, 2.0)
+    assert got[0, "section"] == (2, 0.5, 2.0, None, None) and got[2, "section"] == (2, 1.0, None, 0.5, None) and len(got) == 8
+    assert load_changes(df.where("false")).count() == 0
