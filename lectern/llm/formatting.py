@@ -1,9 +1,9 @@
 """Duplicates hidden by formatting: equal bare text and equal marks.
 
-Text is streamed as code points through a table that skips what is neither letter nor digit and folds letter case; the
-kept codes go straight into two polynomial hashes, so no canonical string is built. Rows of one hash are verified
-against their keeper by comparing both texts while skipping. Rows that collide without being equal are told apart
-exactly.
+The UTF-8 bytes of a column are streamed in windows through a table that skips what is neither letter nor digit and
+folds letter case; each code goes straight into two polynomial hashes at the rank it has among the kept ones, so no
+canonical string is built. Rows of one hash are verified against their keeper by two pointers that skip through both
+texts; all rows of a batch take their steps together. Rows that collide without being equal are told apart exactly.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.scale import cut, skew_safe_join
+from lectern.scale import cut, release, skew_safe_join
 
 #: Odd multipliers of the two hashes, fixed values.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Code points a pass takes at a time.
-CHUNK = 1 << 21
+#: Bytes a window takes at a time, and parts over which the copies of a hot set are spread.
+CHUNK, SALTS = 1 << 20, 64
+#: Rows from which the two pointers take steps together; fewer go row by row, whole runs of kept codes at a time.
+STEP_ROWS = 16
 
 _TABLE: list[np.ndarray] = []
 _POWERS: list[np.ndarray] = []
@@ -50,84 +52,102 @@ def powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, and where each begins (one more for the end)."""
-    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-
-
-def bare_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Both 64-bit hashes of the bare form of each text."""
-    out = np.zeros((2, len(texts)), dtype=np.uint64)
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= CHUNK):
-            size += len(texts[last])
-            last += 1
-        data, starts = codes(texts[first:last])
-        folded = fold_table()[np.minimum(data, 0x10FFFF)]
-        kept = folded != 0
-        seen = np.concatenate([[0], np.cumsum(kept)])
-        rank = (seen[:-1] - np.repeat(seen[starts[:-1]], np.diff(starts)))[kept]
-        values = folded[kept].astype(np.uint64) + np.uint64(1)
-        bounds = seen[starts]
-        table = powers(int(rank.max()) + 1 if len(rank) else 1)
+def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, uncopied, and where each row begins (one more for the end). Nulls are empty."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32, len(column) + 1, column.offset * (8 if pa.types.is_large_string(column.type) else 4)).astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), starts
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """For each byte the folded code of the character that begins there, 0 where it is skipped or none begins."""
+    table = fold_table()
+    if not len(data) or data.max() < 0x80:
+        return table[data]
+    out = np.zeros(len(data), dtype=np.uint32)
+    plain = data < 0x80
+    out[plain] = table[data[plain]]
+    for low, high, bits, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0xF8, 0x07, 3)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        code = (data[at] & bits).astype(np.uint32)
+        for k in range(1, more + 1):
+            code = code << np.uint32(6) | data[np.minimum(at + k, len(data) - 1)] & np.uint32(0x3F)
+        out[at] = table[np.minimum(code, 0x10FFFF)]
+    return out
+
+
+def bare_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Both 64-bit hashes of the bare form of each row: the sum of each kept code times the power of its rank."""
+    data, starts = utf8_bytes(column)
+    n = len(starts) - 1
+    out, ranks = np.zeros((2, n), dtype=np.uint64), np.zeros(n, dtype=np.int64)
+    begin, stop = (int(starts[0]), int(starts[-1])) if n else (0, 0)
+    while begin < stop:
+        end = min(begin + CHUNK, stop)
+        while end < stop and data[end] & 0xC0 == 0x80:  # windows end between characters
+            end += 1
+        codes = folded(data[begin:end])
+        seen = np.cumsum(codes != 0)
+        rows = np.arange(np.searchsorted(starts, begin, side="right") - 1, np.searchsorted(starts, end, side="left"))
+        rows = rows[np.maximum(starts[rows], begin) < np.minimum(starts[rows + 1], end)]  # those with a byte here
+        first = np.maximum(starts[rows], begin) - begin
+        held = np.where(first > 0, seen[first - 1], 0)
+        rank = np.maximum(seen - np.repeat(held, np.diff(np.append(first, end - begin))) - 1, 0)  # of skipped bytes: any, as their code is 0
+        table = powers(int(rank.max()) + 1)
+        values = np.where(codes != 0, codes.astype(np.uint64) + np.uint64(1), np.uint64(0))
         for k in range(2):
-            terms = np.concatenate([[np.uint64(0)], np.cumsum(values * table[k][rank], dtype=np.uint64)])
-            h = terms[bounds[1:]] - terms[bounds[:-1]] + np.diff(bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-            out[k, first:last] = h * np.uint64(BASES[1 - k])
-        first = last
+            part = np.add.reduceat(values * table[k][rank], first)
+            if ranks[rows[0]]:  # only the first row may have begun in an earlier window
+                part[:1] *= np.uint64(pow(BASES[k], int(ranks[rows[0]]), 1 << 64))
+            out[k, rows] += part
+        ranks[rows] += np.diff(np.append(held, seen[-1]))
+        begin = end
+    for k in range(2):
+        h = out[k] + ranks.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        out[k] = h * np.uint64(BASES[1 - k])
     return out[0], out[1]
 
 
-def same_bare(a: str, b: str) -> bool:
-    """Whether two texts have the same bare form: two pointers that skip what doesn't count."""
-    if a == b:
-        return True
-    table, i, j = fold_table(), 0, 0
-    while True:
-        while i < len(a) and not table[ord(a[i])]:
-            i += 1
-        while j < len(b) and not table[ord(b[j])]:
-            j += 1
-        if i == len(a) or j == len(b):
-            return i == len(a) and j == len(b)
-        if table[ord(a[i])] != table[ord(b[j])]:
-            return False
-        i, j = i + 1, j + 1
-
-
-def same_bare_column(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """same_bare for two columns: the two pointers move in step through the kept codes of all rows at once."""
-    a, b = [x or "" for x in left.to_pylist()], [x or "" for x in right.to_pylist()]
-    out = np.zeros(len(a), dtype=bool)
-    first = 0
-    while first < len(a):
-        last, size = first, 0
-        while last < len(a) and (last == first or size + len(a[last]) + len(b[last]) <= CHUNK):
-            size += len(a[last]) + len(b[last])
-            last += 1
-        kept, ends = [], []
-        for side in (a, b):
-            data, starts = codes(side[first:last])
-            folded = fold_table()[np.minimum(data, 0x10FFFF)]
-            seen = np.concatenate([[0], np.cumsum(folded != 0)])
-            kept.append(folded[folded != 0])
-            ends.append(seen[starts])
-        n = np.diff(ends[0])
-        even = n == np.diff(ends[1])
-        same = even.copy()
-        rows = np.flatnonzero(even & (n > 0))
-        if len(rows):
-            offsets = np.concatenate([[0], np.cumsum(n[rows])])
-            within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n[rows])
-            differ = kept[0][np.repeat(ends[0][rows], n[rows]) + within] != kept[1][np.repeat(ends[1][rows], n[rows]) + within]
-            same[rows] = ~np.logical_or.reduceat(differ, offsets[:-1])
-        out[first:last] = same
-        first = last
-    return out
+def _next_kept(codes: np.ndarray) -> np.ndarray:
+    """For each position the first kept one from there on, the length where there is none; one more for the end."""
+    at = np.where(codes != 0, np.arange(len(codes)), len(codes))
+    return np.append(np.minimum.accumulate(at[::-1])[::-1], len(codes))
+
+
+def same_bare(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Whether the two texts of each row have the same bare form, by two pointers that skip what doesn't count.
+
+    The pointers of all rows move in step; the last few rows, with long texts, move by whole runs of kept codes.
+    """
+    same = np.zeros(len(left), dtype=bool)
+    if not len(left):
+        return same
+    (a, a_starts), (b, b_starts) = utf8_bytes(left), utf8_bytes(right)
+    a, b = folded(a[: a_starts[-1]]), folded(b[: b_starts[-1]])
+    next_a, next_b = _next_kept(a), _next_kept(b)
+    row, i, j = np.arange(len(left)), next_a[a_starts[:-1]], next_b[b_starts[:-1]]
+    while len(row) >= STEP_ROWS:
+        a_done, b_done = i >= a_starts[row + 1], j >= b_starts[row + 1]
+        same[row[a_done & b_done]] = True
+        going = ~(a_done | b_done)
+        row, i, j = row[going], i[going], j[going]
+        going = a[i] == b[j]
+        row, i, j = row[going], next_a[i[going] + 1], next_b[j[going] + 1]
+    if len(row):
+        run_a, run_b = _next_kept(a == 0), _next_kept(b == 0)
+        for r, x, y in zip(row.tolist(), i.tolist(), j.tolist()):
+            a_end, b_end = a_starts[r + 1], b_starts[r + 1]
+            while x < a_end and y < b_end:
+                n = min(run_a[x] - x, run_b[y] - y, a_end - x, b_end - y)
+                if not np.array_equal(a[x : x + n], b[y : y + n]):
+                    break
+                x, y = next_a[x + n], next_b[y + n]
+            else:
+                same[r] = x >= a_end and y >= b_end
+    return same
 
 
 def hashed(rows: DataFrame, bits: int = 64) -> DataFrame:
@@ -135,7 +155,7 @@ def hashed(rows: DataFrame, bits: int = 64) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h1, h2 = bare_hashes([t or "" for t in b["text"].to_pylist()])
+            h1, h2 = bare_hashes(b["text"])
             if bits < 64:
                 h1, h2 = h1 >> np.uint64(64 - bits), h2 * np.uint64(0)
             yield pa.RecordBatch.from_arrays([b["source_table"], b["id"], pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), b["marks"]], names=["source_table", "id", "h1", "h2", "marks"])
@@ -160,21 +180,24 @@ def format_copies(rows: DataFrame, bits: int = 64) -> DataFrame:
     pairs = cut(met.select(F.col("source_table").alias("src"), "keep_id", F.col("id").alias("copy_id")).distinct())
     n_pairs = pairs.count()
 
+    # the copies of a hot set are spread over SALTS parts, each of which gets the keeper's text
+    hot = F.broadcast(pairs.groupBy("src", "keep_id").count().where(F.col("count") * 256 >= max(n_pairs, 256)).select("src", "keep_id", F.lit(True).alias("hot")))  # at most 256 rows
     texts = rows.select(F.col("source_table").alias("src"), "id", F.coalesce("text", F.lit("")).alias("text"))
-    with_copy = pairs.join(texts.select("src", F.col("id").alias("copy_id"), F.col("text").alias("copy_text")), ["src", "copy_id"])
-    keepers = texts.join(pairs.select("src", F.col("keep_id").alias("id")).distinct(), ["src", "id"], "left_semi")
-    hot = pairs.groupBy("src", "keep_id").count().where(F.col("count") * 256 >= max(n_pairs, 256)).select("src", "keep_id")  # at most 256 rows
-    keep_text = keepers.select("src", F.col("id").alias("keep_id"), F.col("text").alias("keep_text"))
-    hot_text = F.broadcast(keep_text.join(F.broadcast(hot), ["src", "keep_id"], "left_semi"))
-    both = with_copy.join(F.broadcast(hot), ["src", "keep_id"], "left_anti").join(keep_text, ["src", "keep_id"])
-    both = both.unionByName(with_copy.join(hot_text, ["src", "keep_id"]))
+    salted = pairs.join(hot, ["src", "keep_id"], "left").select("src", "keep_id", "copy_id", F.when(F.col("hot"), F.pmod(F.xxhash64("copy_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    keepers = pairs.select("src", "keep_id").distinct().join(hot, ["src", "keep_id"], "left")
+    keepers = keepers.select("src", "keep_id", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    with_copy = salted.join(texts.select("src", F.col("id").alias("copy_id"), F.col("text").alias("copy_text")), ["src", "copy_id"])
+    keep_text = keepers.join(texts.select("src", F.col("id").alias("keep_id"), F.col("text").alias("keep_text")), ["src", "keep_id"])
+    both = with_copy.join(keep_text, ["src", "keep_id", "salt"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = same_bare_column(b["copy_text"], b["keep_text"])
+            same = same_bare(b["copy_text"], b["keep_text"])
             yield pa.RecordBatch.from_arrays([b["src"], b["keep_id"], b["copy_id"], pa.array(same)], names=["source_table", "keep_id", "copy_id", "same"])
 
     checked = cut(both.select("src", "keep_id", "copy_id", "copy_text", "keep_text").mapInArrow(check, "source_table string, keep_id long, copy_id long, same boolean"))
+    for done in (keyed, sets, pairs):
+        release(done)
     good = checked.where("same").select("source_table", "keep_id", "copy_id").distinct()
     if checked.where("not same").isEmpty():
         return good

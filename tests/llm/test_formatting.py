@@ -5,7 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
-from lectern.llm.formatting import bare_hashes, collapsed, format_copies, number_text, parsed_imports, same_bare, same_bare_column, stored_questions
+from lectern.llm import formatting
+from lectern.llm.formatting import bare_hashes, collapsed, format_copies, number_text, parsed_imports, same_bare, stored_questions
 
 
 def bare(text):
@@ -15,21 +16,28 @@ def bare(text):
 TEXTS = ["", "...", "Define  Entropy!", "define entropy", "DEFINE-ENTROPY", "Define entropy 2", "ÉTÉ à 5", "été À5", "İstanbul", "a" * 70_000, "A " * 70_000, "x", "X.", "ß", "日本 語", "日本語"]
 
 
-def test_hash_depends_on_bare_form_alone():
-    h1, h2 = bare_hashes(TEXTS)
-    groups = {}
-    for t, a, b in zip(TEXTS, h1.tolist(), h2.tolist()):
-        groups.setdefault(bare(t), set()).add((a, b))
-    assert all(len(v) == 1 for v in groups.values())
-    assert len({next(iter(v)) for v in groups.values()}) == len(groups)
-
-
-def test_two_pointers_agree_with_canonical_strings():
-    pairs = [(a, b) for a in TEXTS for b in TEXTS]
+@pytest.mark.parametrize("window", [1 << 20, 1000, 7])
+def test_hash_depends_on_bare_form_alone(monkeypatch, window):
+    monkeypatch.setattr(formatting, "CHUNK", window)
+    texts = [t for t in TEXTS if len(t) < 1000] if window == 7 else TEXTS
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["skipped", *texts])[1:]):
+        h1, h2 = bare_hashes(column)
+        groups = {}
+        for t, a, b in zip(texts, h1.tolist(), h2.tolist()):
+            groups.setdefault(bare(t), set()).add((a, b))
+        assert all(len(v) == 1 for v in groups.values())
+        assert len({next(iter(v)) for v in groups.values()}) == len(groups)
+    assert bare_hashes(pa.array([None, "", "!"]))[0].tolist() == bare_hashes(pa.array(["", "..", " "]))[0].tolist()
+
+
+@pytest.mark.parametrize("step_rows", [1, 16, 10_000])
+def test_two_pointers_agree_with_canonical_strings(monkeypatch, step_rows):
+    monkeypatch.setattr(formatting, "STEP_ROWS", step_rows)
+    texts = TEXTS[:9] + TEXTS[11:] if step_rows == 1 else TEXTS
+    pairs = [(a, b) for a in texts for b in texts]
     want = [bare(a) == bare(b) for a, b in pairs]
-    assert same_bare_column(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).tolist() == want
-    short = [(a, b) for a, b in pairs if len(a) < 100 and len(b) < 100]
-    assert [same_bare(a, b) for a, b in short] == [bare(a) == bare(b) for a, b in short]
+    assert same_bare(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).tolist() == want
+    assert same_bare(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
 
 
 @pytest.mark.parametrize("value,want", [(5, "5"), ("5", "5"), (" 5.0 ", "5"), (5.0, "5"), (100, "100"), ("1e2", "100"), (None, None), ("five", "?five"), (True, "True"), ("nan", "?nan"), (0, "0"), ("-0", "0")])
@@ -55,7 +63,7 @@ def test_copies_even_when_hashes_collide(spark, bits):
     assert sorted(map(tuple, format_copies(df, bits=bits).collect())) == want
 
 
-def test_hot_sets_take_the_broadcast(spark, monkeypatch):
+def test_hot_sets_are_spread(spark, monkeypatch):
     monkeypatch.setattr("lectern.scale.HOT_ROWS", 1)
     data = [("q", i, ["Define it.", "define IT", "x"][i % 3], "5") for i in range(60)] + [("q", 100 + i, f"t{i}", None) for i in range(40)]
     want = sorted([("q", 0, i) for i in range(1, 60) if i % 3 < 2] + [("q", 2, i) for i in range(5, 60, 3)])
