@@ -1,9 +1,11 @@
 """Mixing sources to target weights by fixed-length token blocks.
 
 The token stream of each source is cut into blocks of a fixed length. Each output shard draws how many of its slots
-each source fills from a multinomial, conditioned on the totals that the target shares need (a multivariate
-hypergeometric draw shard by shard), so that the shares of the whole are exact to a block. Slot k of a source maps
-through a pseudorandom permutation of its block indices, a new one for each repeat, and blocks are joined by index.
+each source fills from a multinomial, conditioned on the totals that the target shares need (that is a multivariate
+hypergeometric draw), so that the shares of the whole are exact to a block. Draws halve the range of shards again and
+again, each with a generator of its own, so that every task finds the counts of its shards without those before. Slot k of
+a source maps through a pseudorandom permutation of its block indices, a new one for each repeat, and blocks are joined
+by index.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from lectern.scale import cut, parts_for
 
 #: Tokens of a block, slots of an output shard, documents of a numbering bucket, and the most sources.
 BLOCK_TOKENS, SHARD_SLOTS, BUCKET_DOCUMENTS, MOST_SOURCES = 1024, 4096, 20_000, 1_000
-#: Most output shards, whose draws are made on the driver; beyond it shards get more slots.
-MOST_SHARDS = 20_000
+#: Output shards whose slots a task fills.
+TASK_SHARDS = 64
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -56,19 +58,49 @@ def block_budget(blocks: dict[str, int], shares: dict[str, float], repeats: dict
     return slots
 
 
-def shard_counts(slots: dict[str, int], shard_slots: int, seed: int) -> Iterator[tuple[int, str, int, int]]:
-    """(shard, source, first slot of the source, slots) for every shard: multinomial counts given the totals."""
-    rng = np.random.default_rng(seed)
-    names = sorted(slots)
-    left = np.array([slots[s] for s in names], dtype=np.int64)
-    done, shard = np.zeros(len(names), dtype=np.int64), 0
-    while left.sum() > 0:
-        size = min(shard_slots, int(left.sum()))
-        drawn = rng.multivariate_hypergeometric(left, size, method="marginals") if left.sum() < 10**9 else np.minimum(left, rng.multinomial(size, left / left.sum()))
-        for i, s in enumerate(names):
-            if drawn[i]:
-                yield shard, s, int(done[i]), int(drawn[i])
-        left, done, shard = left - drawn, done + drawn, shard + 1
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good. Beyond the library's range by inversion of the distribution
+    within 12 deviations of its mean."""
+    whole = good + bad
+    if whole < 10**9 or not good or not bad or not n:
+        return int(rng.hypergeometric(good, bad, n)) if whole < 10**9 else n if not bad else 0
+    mean = n * (good / whole)
+    wide = 12 * (mean * (bad / whole) * ((whole - n) / whole)) ** 0.5 + 12
+    low, high = max(0, n - bad, int(mean - wide)), min(n, good, int(mean + wide) + 1)
+    k = np.arange(low, high, dtype=np.float64)
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    log_p = np.concatenate([[0.0], np.cumsum(ratio)])
+    below = np.cumsum(np.exp(log_p - log_p.max()))
+    return low + int(np.searchsorted(below, rng.random() * below[-1]))
+
+
+def shard_counts(slots: dict[str, int], shard_slots: int, seed: int, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+    """(shard, [(source, first slot of the source, slots), ...]) for the shards from ``begin`` to ``end``, or all.
+
+    A range of shards splits its slots between its halves by a multivariate hypergeometric draw seeded by the range, so
+    the counts of a shard are the same whoever draws them. Every shard but the last has ``shard_slots`` slots.
+    """
+    names, total = sorted(slots), sum(slots.values())
+    shards = -(-total // shard_slots)
+    end = shards if end is None else min(end, shards)
+
+    def walk(low: int, high: int, held: list[int], done: list[int]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
+        if high <= begin or low >= end:
+            return
+        if high - low == 1:
+            yield low, [(s, f, n) for s, f, n in zip(names, done, held) if n]
+            return
+        middle = (low + high) // 2
+        rng, want, rest, first = np.random.default_rng([seed, low, high]), (middle - low) * shard_slots, sum(held), []
+        for n in held:
+            rest -= n
+            first.append(hypergeometric(rng, n, rest, want))
+            want -= first[-1]
+        yield from walk(low, middle, first, done)
+        yield from walk(middle, high, [n - x for n, x in zip(held, first)], [d + x for d, x in zip(done, first)])
+
+    if shards:
+        yield from walk(0, shards, [slots[s] for s in names], [0] * len(names))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
@@ -94,11 +126,8 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str | None = N
     counted = cut(
         with_tokens(documents.select(F.col("doc_id").cast("long").alias("doc_id"), source_no.alias("s"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "text").where("s is not null and doc_id is not null"), vocabulary=vocabulary).where("n_tokens > 0")
     )
-    sums = counted.groupBy("s", "bucket").agg(F.sum("n_tokens").alias("n")).orderBy("s", "bucket").collect()  # sources x buckets rows
-    offsets, sizes = [], dict.fromkeys(number.values(), 0)
-    for r in sums:
-        offsets.append((r["s"], r["bucket"], sizes[r["s"]]))
-        sizes[r["s"]] += r["n"]
+    sums = counted.groupBy("s", "bucket").agg(F.sum("n_tokens").alias("n"))
+    sizes = dict.fromkeys(number.values(), 0) | {r["s"]: r["n"] for r in sums.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # one row a source
     blocks = {s: -(-sizes[i] // block_tokens) for s, i in number.items()}
     slots = block_budget(blocks, shares, repeats)
     if not slots:
@@ -106,37 +135,36 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str | None = N
 
     # the blocks that each document's tokens lie in
     w = Window.partitionBy("s", "bucket").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    at = counted.join(F.broadcast(spark.createDataFrame(offsets, "s int, bucket int, base long")), ["s", "bucket"]).withColumn("begin", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+    base = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one narrow row a bucket
+    at = counted.join(sums.select("s", "bucket", base.alias("base")), ["s", "bucket"]).withColumn("begin", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
     end = F.col("begin") + F.col("n_tokens")
     touched = at.select("s", "doc_id", "begin", end.alias("end"), F.explode(F.sequence(F.floor(F.col("begin") / block_tokens), F.floor((end - 1) / block_tokens))).alias("block_no"))
     low, high = F.greatest(F.col("begin"), F.col("block_no") * block_tokens), F.least(F.col("end"), (F.col("block_no") + 1) * block_tokens)
     pieces = touched.select("s", "block_no", "doc_id", (low - F.col("begin")).cast("int").alias("first_token"), (high - low).cast("int").alias("n_tokens"))
 
-    shard_slots = max(shard_slots, -(-sum(slots.values()) // MOST_SHARDS))
-    drawn = [(shard, number[s], first, n) for shard, s, first, n in shard_counts(slots, shard_slots, seed)]
-    plan = spark.createDataFrame(drawn, "shard int, s int, first long, n int").repartition(max(1, min(len(drawn), 256)))
+    shards = -(-sum(slots.values()) // shard_slots)
     n_blocks = {number[s]: n for s, n in blocks.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, s, first, n in zip(*(b[c].to_pylist() for c in ("shard", "s", "first", "n"))):
-                k = np.arange(first, first + n)
-                size = n_blocks[s]
-                repeat = k // size
-                key = (np.uint64(seed) << np.uint64(40)) + (np.uint64(s) << np.uint64(20)) + repeat.astype(np.uint64)
-                block = permuted(k % size, np.full(n, size, dtype=np.int64), key)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, dtype=np.int32)), pa.array(np.full(n, s, dtype=np.int32)), pa.array(repeat.astype(np.int32)), pa.array(block), pa.array(k)], names=["shard", "s", "repeat_no", "block_no", "k"])
-
-    placed = plan.mapInArrow(place, "shard int, s int, repeat_no int, block_no long, k long")
-    # slots of a shard: its sources one after another, in the order of the draw
-    base, start = [], {}
-    for shard, s, first, n in drawn:
-        base.append((shard, s, start.get(shard, 0) - first))
-        start[shard] = start.get(shard, 0) + n
-    placed = placed.join(F.broadcast(spark.createDataFrame(base, "shard int, s int, shift long")), ["shard", "s"]) if len(base) <= 100_000 else placed.join(spark.createDataFrame(base, "shard int, s int, shift long"), ["shard", "s"])
+            own = b["id"].to_numpy()
+            if not len(own):
+                continue
+            for shard, counts in shard_counts(slots, shard_slots, seed, int(own.min()), int(own.max()) + 1):
+                filled = 0
+                for source, first, n in counts:
+                    s, k = number[source], np.arange(first, first + n)
+                    size = n_blocks[s]
+                    repeat = k // size
+                    key = (np.uint64(seed) << np.uint64(40)) + (np.uint64(s) << np.uint64(20)) + repeat.astype(np.uint64)
+                    block = permuted(k % size, np.full(n, size, dtype=np.int64), key)
+                    slot = np.arange(filled, filled + n, dtype=np.int32)
+                    filled += n
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, dtype=np.int32)), pa.array(slot), pa.array(np.full(n, s, dtype=np.int32)), pa.array(repeat.astype(np.int32)), pa.array(block)], names=["shard", "slot", "s", "repeat_no", "block_no"])
+
+    placed = spark.range(0, shards, 1, parts_for(shards, TASK_SHARDS)).mapInArrow(place, "shard int, slot int, s int, repeat_no int, block_no long")
     name = F.element_at(F.array(*(F.lit(s) for s in names)), F.col("s") + 1)
-    joined = placed.join(pieces, ["s", "block_no"])
-    return joined.select("shard", (F.col("k") + F.col("shift")).cast("int").alias("slot"), name.alias("source"), "repeat_no", "block_no", "doc_id", "first_token", "n_tokens")
+    return placed.join(pieces, ["s", "block_no"]).select("shard", "slot", name.alias("source"), "repeat_no", "block_no", "doc_id", "first_token", "n_tokens")
 
 
 def shares_reached(mixed: DataFrame, targets: DataFrame) -> DataFrame:

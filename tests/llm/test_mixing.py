@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from lectern.llm.mixing import block_budget, documents_chosen, mixture, permuted, shard_counts, shares_reached
+from lectern.llm.mixing import block_budget, documents_chosen, hypergeometric, mixture, permuted, shard_counts, shares_reached
 from lectern.llm.tokens import with_tokens
 
 
@@ -26,12 +26,27 @@ def test_budget_is_the_largest_within_repeats():
 def test_shards_add_up():
     slots = {"a": 1000, "b": 37, "c": 1}
     rows = list(shard_counts(slots, 64, 3))
-    total, first = Counter(), {}
-    for shard, s, begin, n in rows:
-        assert begin == total[s]
-        total[s] += n
-        first[shard] = first.get(shard, 0) + n
-    assert dict(total) == slots and set(list(first.values())[:-1]) == {64}
+    total = Counter()
+    for shard, counts in rows:
+        for s, begin, n in counts:
+            assert begin == total[s]
+            total[s] += n
+    assert dict(total) == slots and [shard for shard, _ in rows] == list(range(17))
+    assert {sum(n for _, _, n in c) for _, c in rows[:-1]} == {64}
+    for begin, end in ((0, 1), (3, 9), (16, 40)):
+        assert list(shard_counts(slots, 64, 3, begin, end)) == [r for r in rows if begin <= r[0] < end]
+
+
+def test_draws_of_any_size():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((600, 400, 100), (3 * 10**10, 7 * 10**10, 5 * 10**10)):
+        mean, sd = n * good / (good + bad), (n * good / (good + bad) * bad / (good + bad) * (good + bad - n) / (good + bad)) ** 0.5
+        drawn = np.array([hypergeometric(rng, good, bad, n) for _ in range(60)])
+        assert abs(drawn.mean() - mean) < 5 * sd / 60**0.5 and 0.6 * sd < drawn.std() < 1.5 * sd
+    assert hypergeometric(rng, 10**10, 0, 5) == 5 and hypergeometric(rng, 0, 10**10, 5) == 0
+    big = {"a": 4 * 10**9, "b": 10**9}
+    counts = [c for _, c in shard_counts(big, 4096, 3, 700_000, 700_003)]
+    assert all(sum(n for _, _, n in c) == 4096 and abs(c[0][2] - 3277) < 200 for c in counts)
 
 
 def tables(spark):
