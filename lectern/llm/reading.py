@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most graded documents the model is fitted on (the smallest by a hash of doc_id), pairs it sees, words it grades.
-MOST_GRADED, MOST_PAIRS, MOST_WORDS = 3_000, 200_000, 20_000
+#: Bounds of the sample the model is fitted on: graded documents (the smallest by a hash of doc_id), characters of each
+#: (longer ones aren't taken), and pairs of them the ranker sees.
+MOST_GRADED, MOST_CHARS, MOST_PAIRS = 3_000, 100_000, 200_000
 #: Cells of the score range that calibration tells apart.
 CELLS = 24
 #: Fewest words of a document that is given a level by the query.
@@ -68,7 +69,7 @@ def measured(text: str, grades: dict[str, float], middle: float) -> np.ndarray:
     return np.array(rows, dtype=np.float64)
 
 
-def word_grades(texts: list[str], levels: np.ndarray, most: int = MOST_WORDS) -> tuple[dict[str, float], float]:
+def word_grades(texts: list[str], levels: np.ndarray) -> tuple[dict[str, float], float]:
     """The mean level of the graded documents' sentences a word occurs in, shrunk to the overall mean; the mean."""
     middle = float(np.mean(levels)) if len(levels) else 0.0
     total: dict[str, float] = defaultdict(float)
@@ -78,8 +79,7 @@ def word_grades(texts: list[str], levels: np.ndarray, most: int = MOST_WORDS) ->
             if w.isalpha():
                 total[w] += level
                 count[w] += 1
-    kept = sorted(count, key=lambda w: (-count[w], w))[:most]
-    return {w: (total[w] + 2 * middle) / (count[w] + 2) for w in kept}, middle
+    return {w: (total[w] + 2 * middle) / (count[w] + 2) for w in sorted(count)}, middle
 
 
 def refined_grades(texts: list[str], levels: np.ndarray, grades: dict[str, float], middle: float, rounds: int = 3) -> dict[str, float]:
@@ -156,9 +156,10 @@ def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    """Word grades, scaling, ranker weights, and the isotonic map from scores to levels."""
+    """Word grades, scaling, ranker weights, and the isotonic map from scores to levels; the languages it was fitted on."""
 
-    def __init__(self, texts: list[str], levels: list[int]):
+    def __init__(self, texts: list[str], levels: list[int], languages: frozenset = frozenset(), most_pairs: int = MOST_PAIRS):
+        self.languages = languages
         y = np.array(levels, dtype=np.int64)
         self.known = np.unique(y)
         self.grades, self.middle = word_grades(texts, y)
@@ -167,7 +168,7 @@ class Model:
         x = np.array([np.median(p, axis=0) for p in parts]) if parts else np.zeros((0, len(FEATURES)))
         self.mean = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES))
         self.scale = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0) if len(x) else np.ones(len(FEATURES))
-        self.weights = rank_weights((x - self.mean) / self.scale, y) if len(x) else np.zeros(len(FEATURES))
+        self.weights = rank_weights((x - self.mean) / self.scale, y, most_pairs) if len(x) else np.zeros(len(FEATURES))
         scores = np.array([self.of(p) for p in parts])
         self.knots = isotonic(scores, y) if len(x) else (np.zeros(0), np.zeros(0))
 
@@ -182,26 +183,28 @@ class Model:
         return int(self.known[np.argmin(np.abs(self.known - value))])
 
 
-def fitted(documents: DataFrame, graded: DataFrame, most: int = MOST_GRADED) -> Model:
-    """The model fitted on at most ``most`` graded documents with a text; ties in the hash go by doc_id."""
+def fitted(documents: DataFrame, graded: DataFrame, most: int = MOST_GRADED, most_chars: int = MOST_CHARS, most_pairs: int = MOST_PAIRS) -> Model:
+    """The model fitted on at most ``most`` graded documents with a text of at most ``most_chars`` characters; ties in the
+    hash go by doc_id."""
     labels = graded.where("doc_id is not null and level is not null").groupBy("doc_id").agg(F.min("level").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.where("text is not null and text <> ''").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "level").collect()
+    rows = documents.where("text is not null and text <> ''").where(F.length("text") <= most_chars).join(F.broadcast(labels), "doc_id").select("doc_id", "text", "lang", "level").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return Model([r["text"] for r in rows], [r["level"] for r in rows])
+    return Model([r["text"] for r in rows], [r["level"] for r in rows], frozenset(r["lang"] for r in rows), most_pairs)
 
 
-def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = MOST_GRADED, only: str | None = None) -> DataFrame:
+def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = MOST_GRADED, most_chars: int = MOST_CHARS, most_pairs: int = MOST_PAIRS, only: str | None = None) -> DataFrame:
     """(doc_id, lang, source, n_words, score, level) of every document with a text and an id, or of those ``only`` holds for.
 
-    Null and empty texts have no row. Without graded documents score and level are null. A text without any sentence
-    of three words is scored as a whole.
+    Null and empty texts have no row. Score and level are null where the model can't tell: without graded documents, and
+    for languages (null among them) of which it saw none. A text without any sentence of three words is scored as a
+    whole. ``most_graded``, ``most_chars`` and ``most_pairs`` bound the sample the model is fitted on, nothing else.
     """
-    model = fitted(documents, graded, most_graded)
+    model = fitted(documents, graded, most_graded, most_chars, most_pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["text"].to_pylist()
-            scores = [model.score(t) if len(model.known) else None for t in texts]
+            scores = [model.score(t) if lang in model.languages else None for t, lang in zip(texts, b["lang"].to_pylist())]
             levels = [model.level(s) if s is not None else None for s in scores]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["source"], pa.array([len(t.split()) for t in texts], pa.int32()), pa.array(scores, pa.float64()), pa.array(levels, pa.int32())], names=["doc_id", "lang", "source", "n_words", "score", "level"])
 
@@ -210,5 +213,5 @@ def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = M
 
 
 def level_profile(levels: DataFrame) -> DataFrame:
-    """Documents and words per source and level."""
+    """Documents and words per source and level; the level is null for documents that have none."""
     return levels.groupBy("source", "level").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"))

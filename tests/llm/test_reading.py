@@ -69,3 +69,9 @@ def test_accuracy_on_documents_held_out(spark):
     model = Model([r[1] for r in train], [r[2] for r in train])
     right = sum(model.level(model.score(t)) == y for _, t, y in test)
     assert right >= 0.9 * len(test)
+
+
+def test_languages_without_grades_have_no_level(spark):
+    docs, labels = frames(spark, graded(20) + [(50, EASY, "de", "s", 1), (51, EASY, None, "s", 1), (52, EASY * 2000, "en", "s", 1)], [(i, 1 if i % 2 else 4) for i in range(20)] + [(52, 4)])
+    got = {r["doc_id"]: r["level"] for r in reading_levels(docs, labels).collect()}
+    assert got[50] is None and got[51] is None and got[52] == 1  # too long for the sample, but scored whole
