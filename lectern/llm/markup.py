@@ -66,42 +66,55 @@ def _runs(matches: Iterator[re.Match], text: str) -> int:
 
 
 def found_markup(text: str | None) -> list[str]:
-    """The markups of which the text holds at least one construct, in the order html, latex, markdown, wiki."""
+    """The markups of which the text holds at least one construct, in the order html, latex, markdown, wiki.
+
+    A pattern is tried only where the text holds the signs it can't do without.
+    """
     if not text:
         return []
     out = set()
     rest = text.replace("\r\n", "\n")
-    if PRE.search(rest):
+    if "<" in rest and PRE.search(rest):
         out.add("html")
-    if VERBATIM.search(rest):
+        rest = PRE.sub(_blank, rest)
+    if "\\begin{" in rest and VERBATIM.search(rest):
         out.add("latex")
-    rest = VERBATIM.sub(_blank, PRE.sub(_blank, rest))
-    fences = list(FENCE.finditer(rest))
-    if fences:
-        out.add("markdown")
-        if any(f[2].lower() in ("latex", "tex", "math") and _is_latex(f[3]) for f in fences):
-            out.add("latex")
-        rest = FENCE.sub(_blank, rest)
-    if INLINE_CODE.search(rest) and not re.search(r"``[^`\n]+''", rest):
+        rest = VERBATIM.sub(_blank, rest)
+    if "```" in rest or "~~~" in rest:
+        fences = list(FENCE.finditer(rest))
+        if fences:
+            out.add("markdown")
+            if any(f[2].lower() in ("latex", "tex", "math") and _is_latex(f[3]) for f in fences):
+                out.add("latex")
+            rest = FENCE.sub(_blank, rest)
+    if "`" in rest and INLINE_CODE.search(rest) and not re.search(r"``[^`\n]+''", rest):
         out.add("markdown")
         rest = INLINE_CODE.sub(" ", rest)
-    if _is_latex(rest):
-        out.add("latex")
-    rest = DISPLAY.sub(_blank, DOLLAR.sub(_blank, rest))
-    if COMMENT.search(rest) or TAG.search(rest) or any(_is_entity(e[0]) for e in ENTITY.finditer(rest)):
+    if "$" in rest or "\\" in rest:
+        if _is_latex(rest):
+            out.add("latex")
+        rest = DISPLAY.sub(_blank, DOLLAR.sub(_blank, rest))
+    if "<" in rest:
+        if COMMENT.search(rest) or TAG.search(rest):
+            out.add("html")
+        rest = COMMENT.sub(_blank, rest)
+    if "&" in rest and any(_is_entity(e[0]) for e in ENTITY.finditer(rest)):
         out.add("html")
-    rest = COMMENT.sub(_blank, rest)
-    if WIKI_HEAD.search(rest) or WIKI_LINK.search(rest) or WIKI_TEMPLATE.search(rest) or WIKI_QUOTES.search(rest) or len(WIKI_TABLE.findall(rest)) > 1:
+    bracket, bars, equals = "[" in rest, "|" in rest, "=" in rest
+    if equals and WIKI_HEAD.search(rest) or bracket and WIKI_LINK.search(rest) or "{{" in rest and WIKI_TEMPLATE.search(rest) or "''" in rest and WIKI_QUOTES.search(rest) or bars and len(WIKI_TABLE.findall(rest)) > 1:
         out.add("wiki")
-    if BOLD.search(rest) or LINK.search(WIKI_LINK.sub(" ", rest)) or TABLE_RULE.search(rest) or SETEXT.search(rest) or QUOTE.search(rest):
+    emphasis = "**" in rest or "__" in rest or "~~" in rest
+    underlined = "\n=" in rest or "\n---" in rest
+    if emphasis and BOLD.search(rest) or bracket and LINK.search(WIKI_LINK.sub(" ", rest)) or "---" in rest and bars and TABLE_RULE.search(rest) or underlined and SETEXT.search(rest) or ">" in rest and QUOTE.search(rest):
         out.add("markdown")
+    starts = {line[:1] for line in (x.lstrip(" ") for x in rest.split("\n"))}
     if "wiki" not in out:
-        shared = _shared(rest)
+        shared = _shared(rest, starts)
         if shared == "wiki" and "markdown" not in out:
             out.add("wiki")
         elif shared:
             out.add("markdown")
-    elif any(m[1] in "+-" for m in BULLET.finditer(rest)) and _runs((m for m in BULLET.finditer(rest) if m[1] in "+-"), rest) > 1:
+    elif starts & {"+", "-"} and any(m[1] in "+-" for m in BULLET.finditer(rest)) and _runs((m for m in BULLET.finditer(rest) if m[1] in "+-"), rest) > 1:
         out.add("markdown")
     return sorted(out)
 
@@ -115,19 +128,22 @@ def _is_latex(text: str) -> bool:
     return bool(COMMAND.search(rest) or DISPLAY.search(rest) or DOLLAR.search(rest))
 
 
-def _shared(text: str) -> str:
-    """What constructs that Markdown and wiki text share speak for: 'wiki', 'markdown' or nothing."""
-    marks = list(WIKI_LIST.finditer(text))
-    sentence = [m for m in marks if m[0].startswith("#") and m[0].rstrip().endswith((".", "?", "!", ";"))]
-    if any(m[0].startswith("**") and m[0][2:3] == " " for m in marks) or _runs(iter(sentence), text) > 1:
-        return "wiki"
-    if any(not m[0].rstrip().endswith((".", ",", ";")) for m in ATX.finditer(text)):
-        return "markdown"
-    if _runs(BULLET.finditer(text), text) > 1:
-        return "markdown"
-    numbers = [int(m[1]) for m in ORDERED.finditer(text)]
-    if _runs(ORDERED.finditer(text), text) > 1 and numbers[0] == 1 and numbers[1] in (1, 2):
+def _shared(text: str, starts: set[str]) -> str:
+    """What constructs that Markdown and wiki text share speak for: 'wiki', 'markdown' or nothing. ``starts`` are the
+    signs with which its lines begin."""
+    if starts & set("*#;:"):
+        marks = list(WIKI_LIST.finditer(text))
+        sentence = [m for m in marks if m[0].startswith("#") and m[0].rstrip().endswith((".", "?", "!", ";"))]
+        if any(m[0].startswith("**") and m[0][2:3] == " " for m in marks) or _runs(iter(sentence), text) > 1:
+            return "wiki"
+        if any(not m[0].rstrip().endswith((".", ",", ";")) for m in ATX.finditer(text)):
+            return "markdown"
+    if starts & set("*+-") and _runs(BULLET.finditer(text), text) > 1:
         return "markdown"
+    if any(c.isdigit() for c in starts):
+        numbers = [int(m[1]) for m in ORDERED.finditer(text)]
+        if _runs(ORDERED.finditer(text), text) > 1 and numbers[0] == 1 and numbers[1] in (1, 2):
+            return "markdown"
     return ""
 
 
