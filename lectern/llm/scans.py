@@ -1,13 +1,16 @@
 """Text from scanned pages: lines labelled as header, number, body or break by a linear-chain model over layout
 features, then paragraphs put together again, broken words joined and misread characters repaired.
 
-The model is an averaged structured perceptron with Viterbi decoding, fitted on notes whose true text is known. The
-vocabulary for joining and repairing is counted over the whole corpus; it keeps words above a share of all words, so
-its size has a bound.
+The model is an averaged structured perceptron with Viterbi decoding, fitted on notes whose true text is known. Words
+for joining and repairing are counted over the whole corpus. A misread word and its true form have one folded form, in
+which all lookalikes are spelled alike, so candidates are found by that key, however many characters are damaged, and then
+verified. Words above a share of all words, whose number has a bound, go to the tasks; what depends on rarer ones is
+asked of the full table of words by a join.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -17,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.scale import cut
+from lectern.scale import cut, release
 
 LABELS = ("body", "break", "header", "number")
-#: Most transcripts the line model is fitted on (the smallest by a hash of note_id), and passes over them.
-MOST_TRANSCRIPTS, PASSES = 600, 6
-#: Share of all words from which a word is part of the vocabulary (at most the inverse of it), and the least count.
-WORD_SHARE, LEAST_COUNT = 1e-5, 4
-#: How many times as frequent the true word must be as the misread one.
-REPAIR_RATIO = 30
+#: Bounds of the sample the line model is fitted on: transcripts (the smallest by a hash of note_id) and characters of a
+#: note; passes over it.
+MOST_TRANSCRIPTS, MOST_CHARS, PASSES = 600, 100_000, 6
+#: Share of all words from which a word goes to the tasks (at most the inverse of it do); the result doesn't depend on it.
+WORD_SHARE = 2e-6
+#: Least count of a true word, and how many times as frequent it must be as the misread one: in general, and for words
+#: rarer than the least count that are damaged in one way alone.
+LEAST_COUNT, REPAIR_RATIO, RARE_RATIO = 4, 30, 5
+#: Share of all words, and count, from which both halves of a word broken at a hyphen are words of their own.
+PART_SHARE, PART_COUNT = 1e-5, 50
 
 #: What scanners take for what, fixed values: the sign read, and the true one.
 LOOKALIKES = (("c", "e"), ("@", "a"), ("+", "t"), ("5", "s"), ("1", "l"), ("1", "i"), ("0", "o"), ("ri", "n"), ("ii", "u"), ("b", "h"), ("6", "b"), ("rn", "m"), ("9", "g"), ("vv", "w"), ("m", "rn"))
@@ -236,70 +243,151 @@ def gold_labels(lines: list[str], clean: str) -> list[int]:
     return out
 
 
-def broken_words(text: str) -> str:
-    """SQL: the column with words joined over line ends, good enough to count words."""
-    return f"regexp_replace({text}, '(?<=\\\\p{{L}})[\\\\-¬­‐‑‒–—]\\\\s*\\n\\\\s*(?=\\\\p{{Ll}})', '')"
+#: Each lookalike spelled out so that the sign read and the true one become the same, whatever the order of replacement.
+SPELLED = {"c": "e", "@": "a", "+": "t", "5": "s", "1": "l", "i": "l", "0": "o", "h": "b", "6": "b", "9": "g", "u": "ll", "n": "rl", "m": "rrl", "w": "vv"}
+_SPELL = str.maketrans(SPELLED)
+_BY_FIRST: dict[str, list[tuple[str, str]]] = defaultdict(list)
+for _wrong, _right in LOOKALIKES:
+    _BY_FIRST[_wrong[0]].append((_wrong, _right))
 
 
-def vocabulary(texts: DataFrame, share: float = WORD_SHARE, least: int = LEAST_COUNT) -> dict[str, int]:
-    """Counts of the words and hyphenated compounds of (text) that make up at least ``share`` of all words.
+def spelled(word: str) -> str:
+    """SQL: the folded form of a word."""
+    single = [(k, v) for k, v in SPELLED.items() if len(v) == 1]
+    out = f"translate({word}, '{''.join(k for k, _ in single)}', '{''.join(v for _, v in single)}')"
+    for k, v in SPELLED.items():
+        out = f"replace({out}, '{k}', '{v}')" if len(v) > 1 else out
+    return out
+
+
+def misreadings(token: str, word: str) -> int | None:
+    """In how many ways characters of ``word`` were misread where ``token`` was read, or None if it can't have been."""
+    rows: dict[int, dict[int, frozenset]] = {0: {0: frozenset()}}
+    for i in range(len(token)):
+        for j, ways in rows.pop(i, {}).items():
+            moves = [(i + 1, j + 1, ways)] if word.startswith(token[i], j) else []
+            moves += [(i + len(wrong), j + len(right), ways | {(wrong, right)}) for wrong, right in _BY_FIRST.get(token[i], ()) if token.startswith(wrong, i) and word.startswith(right, j)]
+            for x, y, k in moves:
+                row = rows.setdefault(x, {})
+                if y not in row or len(k) < len(row[y]):
+                    row[y] = k
+    ways = rows.get(len(token), {}).get(len(word))
+    return None if ways is None else len(ways)
+
+
+def readable(token: str) -> bool:
+    """Whether a token is long enough to be told for a misreading."""
+    return (len(token) > 2 or len(token) > 1 and any(c in "@+0156789" for c in token)) and any(c.isalpha() for c in token)
+
+
+def true_form(token: str, own: int, candidates: list[tuple[str, int]]) -> tuple[str, int] | None:
+    """The most frequent of the candidates (word, count) of which a token that occurs ``own`` times is a misreading."""
+    best = None
+    if readable(token):
+        for w, n in candidates:
+            if w == token or n < LEAST_COUNT or best and (n, best[0]) <= (best[1], w):
+                continue
+            ways = misreadings(token, w)
+            if ways and n >= (RARE_RATIO if ways == 1 and own < LEAST_COUNT else REPAIR_RATIO) * max(1, own):
+                best = (w, n)
+    return best
+
 
-    Counted over all texts with map-side combine; at most 1/share words come to the driver.
+_BREAK = r"[\-¬­‐‑‒–—]\s*\n\s*"
+_WORD = r"[\p{L}\p{N}@+]+(?:-[\p{L}\p{N}]+)*"
+
+
+def counted_words(texts: DataFrame) -> DataFrame:
+    """(w, n, alone): how often each word or hyphenated compound of (text) occurs, words joined over line ends and parts
+    of compounds counted in, and how often not broken over a line end. Bare figures are no words.
+
+    Counted over all texts with map-side combine and written to the shared folder. Null texts count nothing.
     """
-    joined = F.expr(broken_words("lower(text)"))
-    words = texts.where(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all(joined, F.lit(r"[\p{L}\p{N}@+]+(?:-[\p{L}\p{N}]+)*"), F.lit(0))).alias("w"))
-    counted = words.groupBy("w").agg(F.count("*").alias("n"))
-    counted = cut(counted)
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    out: dict[str, int] = defaultdict(int)
-    for w, n in counted.where((F.col("n") >= max(least, int(total * share))) & ~F.col("w").rlike(r"^\p{N}+$")).collect():
-        out[w] += n
-        if "-" in w:
-            for part in w.split("-"):
-                out[part] += n
-    return dict(out)
+    low = F.lower("text")
+    joined = F.regexp_replace(low, rf"(?<=\p{{L}}){_BREAK}(?=\p{{Ll}})", "")
+    broken = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{N}}@+]*\p{{L}}{_BREAK}\p{{Ll}}[\p{{L}}\p{{N}}@+]*"), F.lit(0))
+    marked = F.transform(broken, lambda x: F.concat(F.lit("\n"), F.regexp_replace(x, _BREAK, "")))  # told apart by a line end in front
+    found = texts.where(F.col("text").isNotNull()).select(F.explode(F.concat(F.regexp_extract_all(joined, F.lit(_WORD), F.lit(0)), marked)).alias("w"))
+    seen = cut(found.groupBy("w").agg(F.count("*").alias("n")))
+    words = seen.where(~F.col("w").startswith("\n") & ~F.col("w").rlike(r"^\p{N}+$"))
+    whole = words.select(F.explode(F.when(F.col("w").contains("-"), F.array_distinct(F.concat(F.array("w"), F.split("w", "-")))).otherwise(F.array("w"))).alias("w"), "n", F.lit(0).alias("b"))
+    cuts = seen.where(F.col("w").startswith("\n")).select(F.expr("substring(w, 2)").alias("w"), F.lit(0).alias("n"), F.col("n").alias("b"))
+    sums = whole.unionByName(cuts).groupBy("w").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where("n > 0")
+    out = cut(sums.select("w", "n", F.greatest(F.col("n") - F.col("b"), F.lit(0)).alias("alone")))
+    release(seen)
+    return out
+
+
+def known_words(counted: DataFrame) -> DataFrame:
+    """(w, alone, true_word) of every counted word: the frequent word it misreads, if any, and how often it, or else that
+    word, stands unbroken.
+
+    Words of one folded form meet in one row; those are spellings of one another, at most as many as the lookalikes
+    in a word allow, whatever the corpus.
+    """
+    groups = counted.groupBy(F.expr(spelled("w")).alias("f")).agg(F.collect_list(F.struct("w", "n", "alone")).alias("held")).where((F.size("held") > 1) & (F.array_max("held.n") >= LEAST_COUNT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for held in b["held"].to_pylist():
+                candidates = [(x["w"], x["n"]) for x in held]
+                alone = {x["w"]: x["alone"] for x in held}
+                for x in held:
+                    best = true_form(x["w"], x["n"], candidates)
+                    if best:
+                        out.append({"w": x["w"], "true_word": best[0], "true_alone": alone[best[0]]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("w", pa.string()), ("true_word", pa.string()), ("true_alone", pa.int64())]))
+
+    repairs = groups.select("held").mapInArrow(run, "w string, true_word string, true_alone long")
+    return counted.join(repairs, "w", "left").select("w", F.when(F.col("alone") > 0, F.col("alone")).otherwise(F.coalesce("true_alone", F.lit(0))).alias("alone"), "true_word")
 
 
 class Repairer:
-    """Joins and repairs words by a vocabulary, and labels lines by a model."""
+    """Joins and repairs words by the frequent words of a corpus, and labels lines by a model.
 
-    def __init__(self, words: dict[str, int], model: LineModel):
-        self.words, self.model, self.known = words, model, {}
+    ``words`` holds every word that occurs at least ``least`` times with its count, ``alone`` how often those stand
+    unbroken, where that differs. What rarer words could change is left open: it is decided without them and noted in
+    ``asked`` and ``breaks``, or taken from ``answers``.
+    """
+
+    def __init__(self, words: dict[str, int], model: LineModel, alone: dict[str, int] | None = None, least: int = 1, total: int = 0):
+        self.words, self.model, self.alone, self.least = words, model, alone or {}, least
+        self.part = max(PART_COUNT, PART_SHARE * total)
+        self.folds: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        for w, n in words.items():
+            self.folds[w.translate(_SPELL)].append((w, n))
+        self.known: dict[str, tuple[str | None, bool]] = {}
+        self.answers: dict[str, tuple[int, str | None]] = {}
+        self.asked: set[str] = set()
+        self.breaks: list[tuple[str, str, bool, bool]] = []
+
+    def looked_up(self, token: str) -> tuple[str | None, bool]:
+        """The frequent word of which a lower-case token is a misreading, if any, and whether that is certain."""
+        found = self.known.get(token)
+        if found is None:
+            candidates, own = self.folds.get(token.translate(_SPELL), ()), self.words.get(token, 0)
+            sure = bool(own) or self.least <= 1 or not readable(token)
+            best = true_form(token, own, candidates)
+            if not sure and best:  # the token occurs less than ``least`` times
+                sure = true_form(token, max(LEAST_COUNT, self.least - 1), candidates) is not None
+            found = (best[0] if best and sure else None, sure)
+            if len(self.known) < 500_000:
+                self.known[token] = found
+        return found
 
     def true_word(self, token: str) -> str | None:
-        """The frequent word of which a lower-case token is a misreading, if any."""
-        if token in self.known:
-            return self.known[token]
-        own, best, best_count = self.words.get(token, 0), None, 0
-        signs = any(c in "@+0156789" for c in token)
-        if (len(token) > 2 or signs and len(token) > 1) and any(c.isalpha() for c in token):
-            level, seen = {token}, {token}
-            for depth in range(3 if signs else 2):
-                following = set()
-                for w in level:
-                    for wrong, right in LOOKALIKES:
-                        at = w.find(wrong)
-                        while at >= 0:
-                            following.add(w[:at] + right + w[at + len(wrong) :])
-                            at = w.find(wrong, at + 1)
-                        if w.count(wrong) > 1:
-                            following.add(w.replace(wrong, right))
-                for w in following - seen:
-                    n = self.words.get(w, 0)
-                    if n > best_count and n >= REPAIR_RATIO * max(1, own) / (6 if not own and depth == 0 else 1):
-                        best, best_count = w, n
-                if best or len(following) > 400:
-                    break
-                seen |= following
-                level = following
-        if len(self.known) < 500_000:
-            self.known[token] = best
-        return best
+        true, sure = self.looked_up(token)
+        if not sure:
+            if token in self.answers:
+                return self.answers[token][1]
+            self.asked.add(token)
+        return true
 
     def misread(self, text: str) -> bool:
         if "<" in text:
             text = _TAG.sub(" ", text)  # what stands in a tag is no content
-        return any(self.true_word(t) for t in set(TOKEN.findall(text.lower())))
+        return any(self.true_word(t) for t in sorted(set(TOKEN.findall(text.lower()))))
 
     def fixed(self, text: str) -> str:
         def fix(m: re.Match) -> str:
@@ -311,22 +399,24 @@ class Repairer:
         return TOKEN.sub(fix, text)
 
     def count(self, word: str) -> int:
-        """How frequent a word or the word it misreads is."""
-        return self.words.get(word, 0) or self.words.get(self.true_word(word) or "", 0)
+        """How often a word, or else the word it misreads, stands unbroken."""
+        if word in self.answers:
+            return self.answers[word][0]
+        own = self.alone.get(word, self.words.get(word, 0))
+        true = None if own else self.looked_up(word)[0]
+        return own or (self.alone.get(true, self.words.get(true, 0)) if true else 0)
 
     def broken(self, left: str, mark: str, right: str) -> bool:
         """Whether a word is broken between two lines, rather than a compound at its own hyphen."""
         a, b = left.lower(), right.lower()
-        whole, compound = self.count(a.rpartition("-")[2] + b), self.count(f"{a}-{b}") if "-" not in a else self.words.get(f"{a}-{b}", 0)
-        if mark in "-‐‑" and compound > whole:
-            return False
-        if mark in "–—−" and not whole and not right[:1].islower():
-            return False
-        if whole:
-            return True
+        joined, hyphened = a.rpartition("-")[2] + b, f"{a}-{b}"
+        whole, compound, hyphen = self.count(joined), self.count(hyphened), mark in "-‐‑"
         # neither is known: two known words make a compound, fragments a broken word
-        fix_a, fix_b = self.words.get(a.rpartition("-")[2], 0), self.words.get(b, 0)
-        return not (mark == "-" and len(a) > 2 and len(b) > 2 and fix_a > 50 and fix_b > 50)
+        part_a, part_b = self.words.get(a.rpartition("-")[2], 0), self.words.get(b, 0)
+        unknown = not (mark in "–—−" and not right[:1].islower()) and not (mark == "-" and len(a) > 2 and len(b) > 2 and part_a > self.part and part_b > self.part)
+        if self.least > 1 and max(whole, compound) < self.least and joined not in self.answers:
+            self.breaks.append((joined, hyphened, hyphen, unknown))
+        return not (hyphen and compound > whole) and (whole > 0 or unknown)
 
     def read(self, text: str, page: int | None, repair: bool = True) -> tuple[list[str], str]:
         """Defects of a text, and the text put together, with its misread words repaired where ``repair`` is set."""
@@ -364,8 +454,10 @@ class Repairer:
                 kept.append(held)
                 held = s
             elif broken and (head := HEAD_WORD.match(s)) and head[0][0].isalpha():
+                still_open = len(self.breaks)
                 if self.broken(broken[1], broken[2], head[0]):
-                    defects.add("hyphen")
+                    if len(self.breaks) == still_open:
+                        defects.add("hyphen")
                     held = held[: broken.start(2)] + s
                 else:
                     held = held[: broken.start(2)] + "-" + s
@@ -383,10 +475,11 @@ class Repairer:
         return sorted(defects), self.fixed(body) if repair else body
 
 
-def fitted_model(notes: DataFrame, transcripts: DataFrame, most: int = MOST_TRANSCRIPTS) -> LineModel:
-    """The line model fitted on at most ``most`` notes with a transcript; without any, every line is body or break."""
+def fitted_model(notes: DataFrame, transcripts: DataFrame, most: int = MOST_TRANSCRIPTS, most_chars: int = MOST_CHARS) -> LineModel:
+    """The line model fitted on at most ``most`` notes of at most ``most_chars`` characters with a transcript; without any,
+    every line is body or break."""
     known = transcripts.where("note_id is not null and clean_text is not null").groupBy("note_id").agg(F.min("clean_text").alias("clean_text")).orderBy(F.xxhash64("note_id"), "note_id").limit(most)
-    rows = notes.where("text is not null").select(F.col("id").alias("note_id"), "text", "page").join(F.broadcast(known), "note_id").collect()
+    rows = notes.where("text is not null").where(F.length("text") <= most_chars).select(F.col("id").alias("note_id"), "text", "page").join(F.broadcast(known), "note_id").collect()
     examples = []
     for r in sorted(rows, key=lambda r: r["note_id"]):
         lines = lines_of(r["text"])
@@ -399,26 +492,83 @@ def _records(questions: DataFrame, notes: DataFrame) -> DataFrame:
     return own(questions, "questions").unionByName(own(notes, "notes"))
 
 
-def repaired(questions: DataFrame, notes: DataFrame, transcripts: DataFrame, texts: bool = True) -> DataFrame:
-    """(source_table, record_id, defects, clean_text) of every record with a text; clean_text is null unless ``texts``.
+FIRST = "source_table string, record_id int, page int, text string, defects array<string>, asked array<string>, breaks array<struct<joined: string, hyphened: string, hyphen: boolean, unknown: boolean>>, clean_text string"
 
-    defects holds, sorted, ``header`` and ``page_number`` (a line so labelled stands in the text), ``hyphen`` (a word
-    broken over a line end that isn't a compound at its own hyphen) and ``misread`` (a word of the body is a frequent
-    word with lookalike characters). Null and empty texts have no row. A null page only means that a bare figure isn't
-    held against it. Texts of any length are read whole.
-    """
-    rows = _records(questions, notes)
-    words, model = vocabulary(rows.select("text")), fitted_model(notes, transcripts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Repairer(words, model)
-        for b in batches:
-            found = [reader.read(t, p, texts) for t, p in zip(b["text"].to_pylist(), b["page"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["source_table"], b["record_id"], pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] if texts else None for f in found], pa.string())], names=["source_table", "record_id", "defects", "clean_text"])
+class Corpus:
+    """The words of the texts and the fitted model: what all records are read by."""
+
+    def __init__(self, rows: DataFrame, notes: DataFrame, transcripts: DataFrame, share: float, most_transcripts: int, most_chars: int):
+        self.counted = counted_words(rows.select("text"))
+        total = self.counted.agg(F.sum("n")).first()[0] or 0
+        self.least = max(1, math.ceil(total * share))
+        frequent = self.counted.where(F.col("n") >= self.least).toArrow()  # at most 1/share words
+        names, n, alone = (frequent[c].to_pylist() for c in ("w", "n", "alone"))
+        self.words, self.alone, self.total = dict(zip(names, n)), {w: x for w, x, y in zip(names, alone, n) if x != y}, total
+        self.model = fitted_model(notes, transcripts, most_transcripts, most_chars)
 
-    return rows.mapInArrow(run, "source_table string, record_id int, defects array<string>, clean_text string")
+    def read(self, rows: DataFrame, texts: bool) -> DataFrame:
+        """Rows (source_table, record_id, page, text) as FIRST; with a column ``answers`` those are used and nothing is asked."""
+        words, alone, least, total, model = self.words, self.alone, self.least, self.total, self.model
+        answered = "answers" in rows.columns
+        schema = FIRST if not answered else "source_table string, record_id int, defects array<string>, clean_text string"
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = Repairer(words, model, alone, least, total)
+            for b in batches:
+                found = []
+                answers = b["answers"].to_pylist() if answered else [None] * b.num_rows
+                for text, page, known in zip(b["text"].to_pylist(), b["page"].to_pylist(), answers):
+                    reader.asked, reader.breaks, reader.answers = set(), [], {x["w"]: (x["alone"], x["true_word"]) for x in known or ()}
+                    defects, clean = reader.read(text, page, texts)
+                    found.append((defects, sorted(reader.asked), reader.breaks, clean))
+                defects, clean = pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[3] if texts else None for f in found], pa.string())
+                if answered:
+                    yield pa.RecordBatch.from_arrays([b["source_table"], b["record_id"], defects, clean], names=["source_table", "record_id", "defects", "clean_text"])
+                    continue
+                kind = pa.struct([("joined", pa.string()), ("hyphened", pa.string()), ("hyphen", pa.bool_()), ("unknown", pa.bool_())])
+                breaks = pa.array([[dict(zip(("joined", "hyphened", "hyphen", "unknown"), x)) for x in f[2]] for f in found], pa.list_(kind))
+                page, text = (b["page"], b["text"]) if texts else (pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.string()))
+                yield pa.RecordBatch.from_arrays([b["source_table"], b["record_id"], page, text, defects, pa.array([f[1] for f in found], pa.list_(pa.string())), breaks, clean], names=["source_table", "record_id", "page", "text", "defects", "asked", "breaks", "clean_text"])
 
-def defects_found(questions: DataFrame, notes: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """(source_table, record_id, defect): one row for each defect of each record."""
-    return repaired(questions, notes, transcripts, texts=False).select("source_table", "record_id", F.explode("defects").alias("defect")).distinct()
+        return rows.mapInArrow(run, schema)
+
+
+def repaired(questions: DataFrame, notes: DataFrame, transcripts: DataFrame, share: float = WORD_SHARE, most_transcripts: int = MOST_TRANSCRIPTS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(source_table, record_id, defects, clean_text) of every record with a text.
+
+    defects holds, sorted, ``header`` and ``page_number`` (a line so labelled stands in the text), ``hyphen`` (a word
+    broken over a line end that isn't a compound at its own hyphen) and ``misread`` (a word of the body is a frequent
+    word with lookalike characters). Null and empty texts have no row. A null page only means that a bare figure isn't
+    held against it. Texts of any length are read whole. Records that depend on rare words are read again with what the
+    full table of words has on them. ``most_transcripts`` and ``most_chars`` bound the sample the line model is fitted on.
+    """
+    corpus = Corpus(rows := _records(questions, notes), notes, transcripts, share, most_transcripts, most_chars)
+    first = cut(corpus.read(rows, True))
+    open_words = F.array_distinct(F.concat("asked", F.flatten(F.transform("breaks", lambda x: F.array(x["joined"], x["hyphened"])))))
+    record = ["source_table", "record_id", "page", "text"]
+    asked = first.where("size(asked) > 0 or size(breaks) > 0").select(*record, open_words.alias("asked"))
+    numbered = asked.select(F.xxhash64(*record).alias("key"), F.explode("asked").alias("w"))  # equal records ask the same
+    met = numbered.distinct().join(known_words(corpus.counted), "w").groupBy("key").agg(F.collect_list(F.struct("w", "alone", "true_word")).alias("answers"))
+    none = F.array().cast("array<struct<w: string, alone: bigint, true_word: string>>")
+    unknown = lambda have: F.transform(F.array_except("asked", F.transform(have, lambda x: x["w"])), lambda w: F.struct(w.alias("w"), F.lit(0).cast("bigint").alias("alone"), F.lit(None).cast("string").alias("true_word")))
+    again = asked.withColumn("key", F.xxhash64(*record)).join(met, "key", "left").withColumn("answers", F.coalesce("answers", none))
+    again = again.select(*record, F.concat("answers", unknown(F.col("answers"))).alias("answers"))
+    done = first.where("size(asked) = 0 and size(breaks) = 0").select("source_table", "record_id", "defects", "clean_text")
+    return done.unionByName(corpus.read(again, True))
+
+
+def defects_found(questions: DataFrame, notes: DataFrame, transcripts: DataFrame, share: float = WORD_SHARE, most_transcripts: int = MOST_TRANSCRIPTS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """(source_table, record_id, defect): one row for each defect of each record, as ``repaired`` has them.
+
+    No text is read twice: what depends on rare words is decided by joins with the full table of words.
+    """
+    corpus = Corpus(rows := _records(questions, notes), notes, transcripts, share, most_transcripts, most_chars)
+    first = cut(corpus.read(rows, False).drop("page", "text", "clean_text"))
+    known = known_words(corpus.counted)
+    misread = first.where("not array_contains(defects, 'misread')").select("source_table", "record_id", F.explode("asked").alias("w")).join(known.where("true_word is not null").select("w"), "w").select("source_table", "record_id", F.lit("misread").alias("defect"))
+    breaks = first.where("not array_contains(defects, 'hyphen')").select("source_table", "record_id", F.explode("breaks").alias("x")).select("source_table", "record_id", "x.*")
+    alone = lambda name: known.select(F.col("w").alias(name), F.col("alone").alias(f"{name}_n"))
+    counts = breaks.join(alone("joined"), "joined", "left").join(alone("hyphened"), "hyphened", "left").fillna(0, ["joined_n", "hyphened_n"])
+    hyphen = counts.where("not (hyphen and hyphened_n > joined_n) and (joined_n > 0 or unknown)").select("source_table", "record_id", F.lit("hyphen").alias("defect"))
+    return first.select("source_table", "record_id", F.explode("defects").alias("defect")).unionByName(misread).unionByName(hyphen).distinct()

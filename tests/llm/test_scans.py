@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lectern.llm.scans import LABELS, LineModel, Repairer, defects_found, gold_labels, line_features, lines_of, repaired, vocabulary
+from lectern.llm.scans import LABELS, LOOKALIKES, LineModel, Repairer, counted_words, defects_found, gold_labels, known_words, line_features, lines_of, misreadings, repaired, spelled, SPELLED
 
 CLEAN = "Today we looked at the closed system and its entropy. The remaining values follow step by step.\n\nReadings\n12\n7\n30"
 NOISY = [
@@ -72,9 +72,40 @@ def test_operator(spark):
     assert defects_found(q, n, t.where("false")).count() > 0
 
 
-def test_vocabulary_counts_joined_words(spark):
-    df = spark.createDataFrame([("Sys-\ntem system first-order 12 12",), (None,), ("",)], "text string")
-    assert vocabulary(df, 1e-9, 1) == {"system": 2, "first-order": 1, "first": 1, "order": 1}
+def test_counts_tell_broken_words_apart(spark):
+    df = spark.createDataFrame([("Sys-\ntem system first-order 12 12",), ("well-\nknown well-known",), (None,), ("",)], "text string")
+    got = {r["w"]: (r["n"], r["alone"]) for r in counted_words(df).collect()}
+    assert got == {"system": (2, 1), "first-order": (1, 1), "first": (1, 1), "order": (1, 1), "wellknown": (1, 0), "well-known": (1, 1), "well": (1, 1), "known": (1, 1)}
+
+
+def test_every_misreading_has_the_folded_form_of_its_word(spark):
+    for wrong, right in LOOKALIKES:
+        assert wrong.translate(str.maketrans(SPELLED)) == right.translate(str.maketrans(SPELLED))
+        assert misreadings(f"x{wrong}y", f"x{right}y") == 1
+    assert misreadings("@lloc@tor", "allocator") == 1 and misreadings("9roiip", "group") == 2 and misreadings("east", "cast") is None and misreadings("ab", "abc") is None
+    df = spark.createDataFrame([("9roiip corner comer münze 61",)], "w string")
+    assert df.selectExpr(f"{spelled('w')} as f").first()[0] == "9roiip corner comer münze 61".translate(str.maketrans(SPELLED))
+
+
+def test_known_words(spark):
+    counts = [("receives", 900, 900), ("rcccivcs", 2, 2), ("the", 5000, 5000), ("tbe", 30, 30), ("hat", 40, 40), ("bat", 300, 300), ("countcrexample", 1, 0), ("counterexample", 8, 7), ("r" * 5000 + "c", 1, 1), ("r" * 5000 + "e", 90, 90)]
+    got = {r["w"]: (r["alone"], r["true_word"]) for r in known_words(spark.createDataFrame(counts, "w string, n long, alone long")).collect()}
+    assert got["rcccivcs"] == (2, "receives") and got["tbe"][1] == "the" and got["hat"][1] is None and got["countcrexample"] == (7, "counterexample") and got["r" * 5000 + "c"][1] == "r" * 5000 + "e" and len(got) == len(counts)
+
+
+def test_defects_depend_neither_on_the_share_nor_on_the_size_of_the_corpus(spark):
+    """The same texts beside a hundred times as many others, and with all or no words in the tasks."""
+    q, n, t = tables(spark)
+    rare = [(7, 5, "An isobutylcne flask and isobutylene again: isobutylene isobutylene isobutylene isobutylene.", 2, "y"), (8, 5, "Today we looked at the closed note-\nbook and its entropy, our notebook.", 2, "y"), (9, 5, "Today we looked at the closed well-\nknown system, a well-known one.", 2, "y")]
+    q = q.unionByName(spark.createDataFrame(rare, q.schema))
+    want = sorted(map(tuple, defects_found(q, n, t, share=1e-12).collect()))
+    assert {(i, d) for s, i, d in want if s == "questions" and i > 6} == {(7, "misread"), (8, "hyphen")}
+    assert sorted(map(tuple, defects_found(q, n, t, share=1.0).collect())) == want
+    more = spark.range(1000, 1400).selectExpr("cast(id as int) as id", "9 as document_id", "'Copper wire carries a steady current while the pendulum swings.' as text", "2 as page", "'y' as source_table")
+    assert [r for r in sorted(map(tuple, defects_found(q.unionByName(more), n, t, share=1e-3).collect())) if r[1] < 1000] == want
+    texts = {share: sorted(map(tuple, repaired(q, n, t, share=share).select("source_table", "record_id", "defects", "clean_text").collect())) for share in (1e-12, 1.0)}
+    assert texts[1e-12] == texts[1.0]
+    assert sorted({(s, i, d) for s, i, ds, _ in texts[1.0] for d in ds}) == want
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
