@@ -293,8 +293,10 @@ def true_form(token: str, own: int, candidates: list[tuple[str, int]]) -> tuple[
     return best
 
 
-_BREAK = r"[\-¬­‐‑‒–—]\s*\n\s*"
-_WORD = r"[\p{L}\p{N}@+]+(?:-[\p{L}\p{N}]+)*"
+#: What stands for a line end within a word while words are counted.
+_CUT = "\x01"
+_BREAK = r"(?<=\p{L})[\-¬­‐‑‒–—]\s*\n\s*(?=\p{Ll})"
+_WORD = r"[\p{L}\p{N}@+\x01]+(?:-[\p{L}\p{N}\x01]+)*"
 
 
 def counted_words(texts: DataFrame) -> DataFrame:
@@ -303,17 +305,14 @@ def counted_words(texts: DataFrame) -> DataFrame:
 
     Counted over all texts with map-side combine and written to the shared folder. Null texts count nothing.
     """
-    low = F.lower("text")
-    joined = F.regexp_replace(low, rf"(?<=\p{{L}}){_BREAK}(?=\p{{Ll}})", "")
-    broken = F.regexp_extract_all(low, F.lit(rf"[\p{{L}}\p{{N}}@+]*\p{{L}}{_BREAK}\p{{Ll}}[\p{{L}}\p{{N}}@+]*"), F.lit(0))
-    marked = F.transform(broken, lambda x: F.concat(F.lit("\n"), F.regexp_replace(x, _BREAK, "")))  # told apart by a line end in front
-    found = texts.where(F.col("text").isNotNull()).select(F.explode(F.concat(F.regexp_extract_all(joined, F.lit(_WORD), F.lit(0)), marked)).alias("w"))
-    seen = cut(found.groupBy("w").agg(F.count("*").alias("n")))
-    words = seen.where(~F.col("w").startswith("\n") & ~F.col("w").rlike(r"^\p{N}+$"))
-    whole = words.select(F.explode(F.when(F.col("w").contains("-"), F.array_distinct(F.concat(F.array("w"), F.split("w", "-")))).otherwise(F.array("w"))).alias("w"), "n", F.lit(0).alias("b"))
-    cuts = seen.where(F.col("w").startswith("\n")).select(F.expr("substring(w, 2)").alias("w"), F.lit(0).alias("n"), F.col("n").alias("b"))
-    sums = whole.unionByName(cuts).groupBy("w").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where("n > 0")
-    out = cut(sums.select("w", "n", F.greatest(F.col("n") - F.col("b"), F.lit(0)).alias("alone")))
+    joined = F.regexp_replace(F.lower("text"), _BREAK, _CUT)
+    found = texts.where(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all(joined, F.lit(_WORD), F.lit(0))).alias("w"))
+    seen = cut(found.groupBy("w").agg(F.count("*").alias("n")).where(~F.col("w").rlike(r"^\p{N}+$")))
+    pieces = F.when(F.col("w").contains("-"), F.array_distinct(F.concat(F.array("w"), F.split("w", "-")))).otherwise(F.array("w"))
+    cuts = F.when(F.col("w").contains(_CUT) & ~F.col("w").contains("-"), F.col("n")).otherwise(0)
+    whole = seen.select(F.explode(pieces).alias("w"), "n").select(F.replace("w", F.lit(_CUT), F.lit("")).alias("w"), "n", cuts.alias("b"))
+    sums = whole.where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"), (F.sum("n") - F.sum("b")).alias("alone"))
+    out = cut(sums)
     release(seen)
     return out
 
@@ -387,7 +386,12 @@ class Repairer:
     def misread(self, text: str) -> bool:
         if "<" in text:
             text = _TAG.sub(" ", text)  # what stands in a tag is no content
-        return any(self.true_word(t) for t in sorted(set(TOKEN.findall(text.lower()))))
+        known = self.known
+        for t in set(TOKEN.findall(text.lower())):
+            true, sure = known.get(t) or self.looked_up(t)
+            if true or not sure and self.true_word(t):
+                return True
+        return False
 
     def fixed(self, text: str) -> str:
         def fix(m: re.Match) -> str:
