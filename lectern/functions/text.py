@@ -118,18 +118,31 @@ def extract_exam_type(text: Column) -> Column:
     return out
 
 
+#: A year as a word of its own.
+_YEAR = r"(?U)(?<!\w)(?:19|20)[0-9]{2}(?!\w)"
+
+
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def extract_year(text: Column) -> Column:
     """The year of a header: the only one from 1990 to 2099, or the latest near an exam word (100 characters before,
-    100 behind its beginning), or the latest."""
-    spots = F.filter(
-        F.when(text.rlike(r"(?:19|20)\d\d"), F.sequence(F.lit(1), F.length(text) - 3)),
-        lambda i: F.substring(text, i, F.lit(4)).rlike(r"^(?:19|20)\d\d$") & ~F.substring(text, i - 1, F.when(i > 1, F.lit(1)).otherwise(F.lit(0))).rlike(r"(?U)^\w$") & ~F.substring(text, i + 4, F.lit(1)).rlike(r"(?U)^\w$"),
-    )
-    found = F.filter(F.transform(spots, lambda i: F.struct(F.substring(text, i, F.lit(4)).cast("int").alias("y"), i.alias("i"))), lambda s: s["y"].between(1990, 2099))
+    100 behind its beginning), or the latest. Matches are found in one pass; where they stand follows from what lies
+    between them."""
+    matches = F.transform(F.regexp_extract_all(text, F.lit(_YEAR), F.lit(0)), lambda y: y.cast("int"))
+    between = F.transform(F.split(text, _YEAR, -1), lambda s: F.length(s))
+
+    def at(lengths: Column) -> Column:
+        start = lambda k: F.aggregate(F.slice(lengths, 1, k + 1), F.lit(1) + 4 * k, lambda n, x: n + x)
+        return F.filter(F.transform(matches, lambda y, k: F.struct(y.alias("y"), start(k).alias("i"))), lambda s: s["y"].between(1990, 2099))
+
     window = lambda i: F.substring(text, F.greatest(F.lit(1), i - 100), i - 1 + 100 - F.greatest(F.lit(0), i - 101))
-    near = F.filter(found, lambda s: window(s["i"]).rlike(_unicode(EXAM_WORDS)))
     latest = lambda a: F.array_max(F.transform(a, lambda s: s["y"]))
-    return F.when(F.size(found) == 1, latest(found)).otherwise(F.coalesce(latest(near), latest(found)))
+    near = lambda found: F.filter(found, lambda s: window(s["i"]).rlike(_unicode(EXAM_WORDS)))
+    year = _with(_with(between, at), lambda found: F.when(F.size(found) < 2, latest(found)).otherwise(F.coalesce(latest(near(found)), latest(found))))
+    return F.when(text.rlike("(?:19|20)[0-9]{2}"), year)
 
 
 def squash(c: Column) -> Column:

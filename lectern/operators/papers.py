@@ -88,7 +88,8 @@ def parsed_questions(pages: DataFrame, global_marks: int | None = None, strict_s
     Marks in the question win over ``global_marks``; year and exam type come from the document. Rows outside the
     validation rules (page below 1, blank text) are left out.
     """
-    normal = normalized_pages(pages)
+    # one shuffle of the raw pages, by the keys of the join with the carried sections, so that lines needn't move again
+    normal = normalized_pages(pages.repartition("document_id", "page_number"))
     found = segments(normal, strict_sections).join(document_metadata(pages), "document_id", "left")
     raw = F.col("raw_text")
     return found.where("page_number >= 1").select(
