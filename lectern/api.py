@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from lectern.operators import backtest, coverage, linking, mutations, pages, papers, planner, practice, seams, timeline
 from lectern.operators.statistics import legacy_note_topics, topic_stats
 from lectern.params import DEFAULT, Params
+from lectern.scale import cut
 from lectern.schemas import require
 
 
@@ -60,9 +61,9 @@ def parse_papers(raw_pages: DataFrame, stored: DataFrame | None = None, scanner:
 def link_questions(questions: DataFrame, topics: DataFrame, encode: Callable[[list[str]], list[list[float]]], params: Params = DEFAULT) -> DataFrame:
     """Questions with topic_id and repeat_group_id set from embeddings of ``encode``; repeats are sought within topics."""
     q = questions.select("id", linking.question_text(questions["text"], questions["cleaned_text"]).alias("linked_text"))
-    vectors = seams.embedded(q, encode)
+    vectors = cut(seams.embedded(q, encode))  # used three times; the encoder runs once
     topic_vectors = seams.embedded(topics.select("id", linking.topic_text(topics["name"], topics["syllabus_unit"]).alias("linked_text")), encode)
-    unassigned = vectors.join(questions.where("topic_id is null").select("id"), "id", "left_semi")
+    unassigned = vectors.join(linking.unassigned(questions).select("id"), "id", "left_semi")
     tagged = mutations.with_topics(questions, linking.assign_topics(unassigned, topic_vectors, params.topic_threshold))
     items = vectors.join(tagged.where("topic_id is not null").select("id", "topic_id"), "id")
     groups = linking.repeat_groups(items, linking.repeat_pairs(items, params.repeat_threshold), linking.last_group(questions))

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.params import DEFAULT
-from lectern.scale import cut, dense_ids
+from lectern.scale import cut, dense_ids, release, skew_safe_join
 
 #: Topic vectors sent to the tasks at a time, and vectors of one block in the search for repeats.
 TOPIC_BLOCK, BLOCK = 4096, 1024
+#: Edges that one task unites.
+ONE_TASK_EDGES = 2_000_000
 
 
 def topic_text(name: Column, unit: Column) -> Column:
@@ -92,22 +94,65 @@ def repeat_pairs(items: DataFrame, threshold: float = DEFAULT.repeat_threshold,
     return spread.groupBy("topic_id", "i", "j").applyInArrow(meet, "topic_id long, left long, right long, score double")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable over (left, right) pairs.
-
-    Every node takes the smallest label of its neighbours and itself, then the label of its label, until nothing
-    changes; each round is written to the shared folder.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of edges (u, v) held in one task: labels sink to the smallest end, paths are halved, until none moves."""
+    held = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, at = np.unique(np.concatenate([x for pair in held for x in pair]), return_inverse=True)
+    cuts = np.cumsum([len(x) for pair in held for x in pair])[:-1]
+    ends = np.split(at, cuts)
+    u, v = np.concatenate(ends[::2]), np.concatenate(ends[1::2])
+    root = np.arange(len(nodes))
+    while len(u):
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def components(pairs: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node, root): the smallest node reachable over (left, right) pairs; self pairs and nulls add nothing.
+
+    Edges that fit a task are united there. More are contracted first: each node hooks to its smallest neighbour if that is
+    smaller, paths are shortened by doubling, and edges are relabelled and deduplicated. Joins are safe from hot nodes,
+    and each round is written to the shared folder.
     """
-    edges = cut(pairs.where("left <> right").select(F.col("left").alias("u"), F.col("right").alias("v")).unionByName(pairs.where("left <> right").select(F.col("right").alias("u"), F.col("left").alias("v"))).distinct())
-    labels = cut(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"))
-    while True:
-        seen = edges.join(labels.toDF("v", "lv"), "v").groupBy("u").agg(F.min("lv").alias("lv"))
-        nearer = labels.join(seen.withColumnRenamed("u", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "lv").alias("root"))
-        jumped = nearer.join(labels.toDF("root", "top"), "root").select("node", "old", F.least("root", "top").alias("root"))
-        following = cut(jumped)
-        labels = following.select("node", "root")
-        if following.where("old <> root").isEmpty():
-            return labels
+    u, v = F.col("left").cast("long"), F.col("right").cast("long")
+    edges = cut(pairs.where("left <> right").select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).distinct())
+    trees: list[DataFrame] = []
+    while (n := edges.count()) > one_task:
+        tree = cut(edges.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("p")))  # hooks to smaller nodes alone, so there is no cycle
+        total, moving = tree.count(), True
+        while moving:
+            up = tree.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+            met = skew_safe_join(tree, "p", up, total).select("c", F.col("pp").alias("p"))
+            jumped = cut(met.withColumn("moved", F.lit(True)).unionByName(tree.join(up.select("p"), "p", "left_anti").select("c", "p").withColumn("moved", F.lit(False))))
+            release(tree)
+            tree, moving = jumped.select("c", "p"), not jumped.where("moved").isEmpty()
+        trees.append(tree)
+        for end in ("u", "v"):
+            named = tree.select(F.col("c").alias(end), F.col("p").alias("r"))
+            stay = edges.join(named.select(end), end, "left_anti")
+            moved = skew_safe_join(edges, end, named, n).withColumn(end, F.col("r")).select("u", "v").unionByName(stay.select("u", "v"))
+            fewer = cut(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+            release(edges)
+            edges = fewer
+    labels = cut(edges.coalesce(1).mapInArrow(_united, "node long, root long"))
+    release(edges)
+    for tree in reversed(trees):
+        top = labels.select(F.col("node").alias("p"), "root")
+        met = skew_safe_join(tree, "p", top, tree.count()).select(F.col("c").alias("node"), "root")
+        alone = tree.join(top.select("p"), "p", "left_anti")
+        own = alone.select(F.col("c").alias("node"), F.col("p").alias("root")).unionByName(alone.select(F.col("p").alias("node"), F.col("p").alias("root")).distinct())
+        following = cut(labels.unionByName(met).unionByName(own))
+        release(labels)
+        release(tree)
+        labels = following
+    return labels
 
 
 def repeat_groups(items: DataFrame, pairs: DataFrame, last_group: int = 0) -> DataFrame:
@@ -117,6 +162,11 @@ def repeat_groups(items: DataFrame, pairs: DataFrame, last_group: int = 0) -> Da
     return found.join(numbers, ["topic_id", "root"]).select(F.col("node").alias("id"), "topic_id", "repeat_group_id")
 
 
+def unassigned(questions: DataFrame) -> DataFrame:
+    """Questions without a topic."""
+    return questions.where(F.col("topic_id").isNull())
+
+
 def last_group(questions: DataFrame) -> int:
     """The largest repeat_group_id so far, or 0."""
     return int(questions.agg(F.coalesce(F.max("repeat_group_id"), F.lit(0))).first()[0])

@@ -68,7 +68,7 @@ def reordered_pages(pages: DataFrame, orders: DataFrame) -> DataFrame:
     An order that doesn't have exactly the document's number of pages fails at run time, as the request would.
     """
     n = pages.groupBy("document_id").agg(F.count("*").alias("n"))
-    checked = orders.join(n, "document_id").select("document_id", F.when(F.size("new_order") == F.col("n"), F.col("new_order")).otherwise(F.raise_error(F.lit("Page count mismatch"))).alias("new_order"))
+    checked = orders.join(n, "document_id").select("document_id", F.when(F.size("new_order") == F.col("n"), F.col("new_order")).otherwise(F.raise_error(F.lit("an order names another number of pages than the document has"))).alias("new_order"))
     moves = checked.select("document_id", F.posexplode("new_order").alias("pos", "page_number"))
     moved = pages.join(moves, ["document_id", "page_number"]).withColumn("page_number", F.col("pos") + 1).drop("pos").select(*pages.columns)
     return moved.unionByName(pages.join(orders.select("document_id"), "document_id", "left_anti").select(*pages.columns))

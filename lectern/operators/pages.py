@@ -88,22 +88,51 @@ def scaled(value, factor: float):
 # ---- greedy folding of pages ----------------------------------------------------------------------------------------
 
 
-def ncc(a: np.ndarray, b: np.ndarray) -> float:
-    """Normalised correlation of two arrays of one size; 0 where one is constant."""
-    a, b = a.ravel() - a.mean(), b.ravel() - b.mean()
-    size = float(np.linalg.norm(a) * np.linalg.norm(b))
-    return float(a @ b) / size if size > 1e-8 else 0.0
-
-
-def same_page(a: np.ndarray, b: np.ndarray, whole: float, quarter: float, least_std: float = 0.02) -> bool:
-    """Whether two square fingerprints match as a whole and in each quarter; blank ones match nothing."""
-    if a.std() < least_std or b.std() < least_std or ncc(a, b) < whole:
-        return False
-    y, x = a.shape[0] // 2, a.shape[1] // 2
-    return all(ncc(a[s], b[s]) >= quarter for s in (np.s_[:y, :x], np.s_[:y, x:], np.s_[y:, :x], np.s_[y:, x:]))
-
-
-def fold_pages(pages: DataFrame, whole: float = 0.93, quarter: float = 0.88, parts: int | None = None) -> DataFrame:
+#: Least correlation of two pages as a whole and in each quarter, and the least deviation of a page that isn't blank;
+#: fixed values.
+WHOLE, QUARTER, LEAST_STD = 0.93, 0.88, 0.02
+
+
+def areas(image: np.ndarray) -> list[np.ndarray]:
+    """A square fingerprint as five vectors of length 1 (0 where constant): the whole, then its quarters."""
+    y, x = image.shape[0] // 2, image.shape[1] // 2
+    out = []
+    for part in (image, image[:y, :x], image[:y, x:], image[y:, :x], image[y:, x:]):
+        v = part.ravel() - part.mean() if part.size else part.ravel()
+        length = float(np.linalg.norm(v))
+        out.append(v / length if length > 1e-4 else np.zeros_like(v))
+    return out
+
+
+class KeptPages:
+    """Fingerprints of the pages kept of one document, by side length, one growing matrix for each area."""
+
+    def __init__(self, whole: float, quarter: float):
+        self.least = np.array([whole, *[quarter] * 4])
+        self.held: dict[int, tuple[list[np.ndarray], list[int]]] = {}
+
+    def first_match(self, image: np.ndarray) -> int | None:
+        """The first kept page that correlates in every area; all kept pages are compared by one product an area."""
+        held, places = self.held.get(image.shape[0], ([], []))
+        if not places or image.std() < LEAST_STD:
+            return None
+        n = len(places)
+        alike = np.all([rows[:n] @ v >= low for rows, v, low in zip(held, areas(image), self.least)], axis=0)
+        return places[int(alike.argmax())] if alike.any() else None
+
+    def add(self, image: np.ndarray, place: int) -> None:
+        if image.std() < LEAST_STD:
+            return  # a blank page matches nothing
+        vectors = areas(image)
+        held, places = self.held.setdefault(image.shape[0], ([np.zeros((8, len(v))) for v in vectors], []))
+        for k, v in enumerate(vectors):
+            if len(places) == len(held[k]):
+                held[k] = np.concatenate([held[k], np.zeros_like(held[k])])
+            held[k][len(places)] = v
+        places.append(place)
+
+
+def fold_pages(pages: DataFrame, whole: float = WHOLE, quarter: float = QUARTER, parts: int | None = None) -> DataFrame:
     """(document_id, page_number, source_page_numbers) of the pages kept: later copies are folded into the first match.
 
     Input (document_id, page_number, fingerprint: a square array). A page is compared with the pages kept before it, in
@@ -112,26 +141,28 @@ def fold_pages(pages: DataFrame, whole: float = 0.93, quarter: float = 0.88, par
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        document, kept = object(), []
+        document, kept, prints = object(), [], KeptPages(whole, quarter)
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([document] * len(kept), pa.int64()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.list_(pa.int64()))], names=["document_id", "page_number", "source_page_numbers"])
+            return pa.RecordBatch.from_arrays([pa.array([document] * len(kept), pa.int64()), pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.list_(pa.int64()))], names=["document_id", "page_number", "source_page_numbers"])
 
         for batch in batches:
             for doc, number, print_ in zip(batch["document_id"].to_pylist(), batch["page_number"].to_pylist(), batch["fingerprint"].to_pylist()):
                 if doc != document:
                     if kept:
                         yield flush()
-                    document, kept = doc, []
-                image = None
+                    document, kept, prints = doc, [], KeptPages(whole, quarter)
+                image, match = None, None
                 if print_ is not None:
                     side = int(len(print_) ** 0.5)
                     image = np.asarray(print_[: side * side], dtype=np.float64).reshape(side, side)
-                match = next((k for k in kept if image is not None and k[1] is not None and k[1].shape == image.shape and same_page(k[1], image, whole, quarter)), None)
+                    match = prints.first_match(image)
                 if match is None:
-                    kept.append((number, image, [number]))
-                elif number not in match[2]:
-                    match[2].append(number)
+                    if image is not None:
+                        prints.add(image, len(kept))
+                    kept.append((number, [number]))
+                elif number not in kept[match][1]:
+                    kept[match][1].append(number)
         if kept:
             yield flush()
 

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLACK = 1e-9
 
 
+CHOICE = "rank int, topic_id int, name string, syllabus_unit string, hours double, needs_notes boolean, priority double, chosen boolean"
+
+
 def plan_choice(stats: DataFrame, days_left: int, hours_per_day: float) -> DataFrame:
     """(rank, topic_id, name, syllabus_unit, hours, needs_notes, priority, chosen) of every topic with a priority.
 
     Topics are taken by falling priority (to 9 decimals, ties by topic_id); one that no longer fits is skipped and costs nothing,
-    which no running sum can express, so the fold runs over one sorted array of the syllabus' topics.
+    which no running sum can express. So the topics, sorted by Spark, stream through one task that carries the hours left.
     """
     if days_left <= 0 or hours_per_day <= 0:
-        raise ValueError("days_left and hours_per_day must both be positive.")
+        raise ValueError("a plan needs a positive number of days and of hours a day")
     budget = float(days_left * hours_per_day)
-    item = F.struct((-F.round("priority", 9)).alias("k"), "topic_id", "name", "syllabus_unit", F.col("effort_hours").alias("hours"), (~F.col("has_notes")).alias("needs_notes"), "priority")
-    ranked = stats.where("priority > 0").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(budget).alias("left"), F.array().cast("array<boolean>").alias("chosen"))
-    step = lambda acc, x: F.struct(
-        F.when(x["hours"] <= acc["left"] + _SLACK, acc["left"] - x["hours"]).otherwise(acc["left"]).alias("left"),
-        F.concat(acc["chosen"], F.array(x["hours"] <= acc["left"] + _SLACK)).alias("chosen"),
-    )
-    folded = ranked.select("items", F.aggregate("items", start, step)["chosen"].alias("chosen"))
-    rows = folded.select(F.posexplode(F.arrays_zip("items", "chosen")).alias("pos", "z"))
-    return rows.select((F.col("pos") + 1).alias("rank"), *(F.col(f"z.items.{c}").alias(c) for c in ("topic_id", "name", "syllabus_unit", "hours", "needs_notes", "priority")), F.col("z.chosen").alias("chosen"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, rank = budget, 0
+        for b in batches:
+            chosen = []
+            for hours in b["hours"].to_pylist():
+                chosen.append(hours <= left + _SLACK)
+                left -= hours if chosen[-1] else 0.0
+            ranks = pa.array(range(rank + 1, rank + 1 + b.num_rows), pa.int32())
+            rank += b.num_rows
+            yield pa.RecordBatch.from_arrays([ranks, *b.columns, pa.array(chosen, pa.bool_())], names=["rank", *b.schema.names, "chosen"])
+
+    rows = stats.where("priority > 0").select(F.col("topic_id").cast("int").alias("topic_id"), "name", "syllabus_unit", F.col("effort_hours").cast("double").alias("hours"), (~F.col("has_notes")).alias("needs_notes"), F.col("priority").cast("double").alias("priority"))
+    return rows.repartition(1).sortWithinPartitions((-F.round("priority", 9)), "topic_id").mapInArrow(choose, CHOICE)
 
 
 def plan_blocks(choice: DataFrame, days_left: int, hours_per_day: float) -> DataFrame:

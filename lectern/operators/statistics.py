@@ -62,7 +62,7 @@ def topic_stats(topics: DataFrame, questions: DataFrame, note_topics: DataFrame
         F.coalesce(F.nullif(F.lit(ref_year).cast("int"), F.lit(0)), F.col("last") + 1).alias("ref"),
     )
     weighted = years_of(per_year).crossJoin(F.broadcast(scalars)).select("year", "ref", recency_weight(F.col("ref") - 1 - F.col("year"), params).alias("w"), "n_years")
-    none = F.raise_error(F.lit("No questions with a year found; cannot compute statistics.")).cast("long")
+    none = F.raise_error(F.lit("statistics need at least one question with a year")).cast("long")
     totals = weighted.agg(F.sum("w").alias("sum_w"), F.max("ref").alias("ref"), F.when(F.count("*") > 0, F.max("n_years")).otherwise(none).alias("n_years"))
     asked = (
         per_year.where(F.col("topic_id").isNotNull()).join(weighted.select("year", "w"), "year").groupBy("topic_id")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import analytics, integrity, papers, records
+from lectern.plans import analytics, files, integrity, papers, records
 
-MODULES = [analytics, papers, records, integrity]
+MODULES = [analytics, papers, records, integrity, files]
 
 
 def queries() -> dict:

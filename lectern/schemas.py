@@ -33,7 +33,7 @@ def require(name: str, df: DataFrame) -> DataFrame:
     """The table itself, or a ValueError that names the table and the columns it lacks."""
     missing = sorted(set(REQUIRED[name]) - set(df.columns))
     if missing:
-        raise ValueError(f"'{name}' table is missing columns: {missing}")
+        raise ValueError(f"{name} lacks {', '.join(missing)}")
     return df
 
 

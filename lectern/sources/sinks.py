@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +18,12 @@ def replace_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def questions_by_year(rows: DataFrame, path: str) -> None:
-    """Questions partitioned by year, so that queries of a year read that year alone; one sorted file set a year."""
-    rows.repartition("year").sortWithinPartitions("document_id", "page").write.mode("overwrite").partitionBy("year").parquet(path)
+def questions_by_year(rows: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """Questions partitioned by year, so that queries of a year read that year alone. A year of many rows is spread over
+    as many tasks and files as ``file_rows`` asks for."""
+    sizes = rows.groupBy("year").agg(F.ceil(F.count("*") / file_rows).cast("int").alias("_files"))  # one row a year
+    salted = rows.join(F.broadcast(sizes), rows["year"].eqNullSafe(sizes["year"])).drop(sizes["year"]).withColumn("_salt", F.pmod(F.xxhash64("document_id", "page"), F.col("_files")))
+    salted.repartition("year", "_salt").sortWithinPartitions("document_id", "page").drop("_files", "_salt").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def csv_file(rows: DataFrame, path: str) -> None:
@@ -35,9 +37,17 @@ def json_lines(rows: DataFrame, path: str) -> None:
 
 
 def json_document(path: str, **tables: DataFrame) -> None:
-    """One JSON document of small result tables, such as a coverage report or a plan, by name."""
-    out = {name: [json.loads(r["value"]) for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).collect()] for name, df in tables.items()}
-    Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=2), encoding="utf-8")
+    """One JSON document of result tables, such as a coverage report or a plan, by name. Rows are streamed to the file, a
+    partition at a time."""
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        for k, (name, df) in enumerate(tables.items()):
+            out.write(f"{',' * bool(k)}\n  {json.dumps(name, ensure_ascii=False)}: [")
+            rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).toLocalIterator()
+            for n, r in enumerate(rows):
+                out.write(f"{',' * bool(n)}\n    {r['value']}")
+            out.write("]")
+        out.write("\n}\n")
 
 
 def sidecars(pages: DataFrame, path: str) -> None:

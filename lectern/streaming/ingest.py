@@ -17,11 +17,16 @@ from lectern.operators.papers import parsed_questions
 PAGES = "document_id INT, page_number INT, text STRING, source STRING"
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path in its terms."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no batch has been written yet
-        return None
+    """The table at ``path``, or None where there is none yet. A table that can't be read raises."""
+    system, where = _files(spark, path)
+    return spark.read.parquet(path) if system.exists(where) and len(system.listStatus(where)) else None
 
 
 def ingest_papers(spark: SparkSession, incoming: str, table: str, checkpoint: str, format: str = "parquet", available_now: bool = True) -> StreamingQuery:
@@ -42,27 +47,38 @@ def ingest_papers(spark: SparkSession, incoming: str, table: str, checkpoint: st
 NOTES = "document_id INT, page INT, lecture_date STRING, taken_at STRING, text STRING, latex STRING, confidence DOUBLE"
 
 
+#: Versions of the notes table that are kept: the newest, and one that readers may still be at.
+KEPT_VERSIONS = 2
+
+
 def ingest_notes(spark: SparkSession, incoming: str, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Upsert new note files by (document_id, page). Version n of the table is written beside version n-1; a
-    batch that is run again writes the same version again."""
+    batch that is run again writes the same version again. Older versions than the last KEPT_VERSIONS are deleted."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         last = batch.groupBy("document_id", "page").agg(F.max_by(F.struct("lecture_date", "taken_at", "text", "latex", "confidence"), F.coalesce("taken_at", F.lit(""))).alias("n")).select("document_id", "page", "n.*")
-        old = None
-        for version in range(batch_id - 1, -1, -1):
-            old = _stored(session, f"{folder}/v={version}")
-            if old is not None:
-                break
-        base = old if old is not None else session.createDataFrame([], "document_id INT, page INT, lecture_date STRING, text STRING, latex STRING, confidence DOUBLE")
+        earlier = sorted(v for v in _versions(session, folder) if v < batch_id)
+        base = session.read.parquet(f"{folder}/v={earlier[-1]}") if earlier else session.createDataFrame([], "document_id INT, page INT, lecture_date STRING, text STRING, latex STRING, confidence DOUBLE")
         upsert_notes(base.select("document_id", "page", "lecture_date", "text", "latex", "confidence"), last).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        for v in earlier[: 1 - KEPT_VERSIONS]:
+            system, where = _files(session, f"{folder}/v={v}")
+            system.delete(where, True)
 
     writer = spark.readStream.schema(NOTES).parquet(incoming).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions that were written to the end."""
+    system, where = _files(spark, folder)
+    if not system.exists(where):
+        return []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [s.getPath() for s in system.listStatus(where) if s.getPath().getName().startswith("v=")]
+    return [int(p.getName()[2:]) for p in found if system.exists(hadoop(p, "_SUCCESS"))]
+
+
 def current_notes(spark: SparkSession, folder: str) -> DataFrame:
     """The newest version written by ingest_notes."""
-    rows = spark.read.parquet(folder)
-    newest = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == newest).drop("v")
+    return spark.read.parquet(f"{folder}/v={max(_versions(spark, folder))}")

@@ -53,12 +53,12 @@ def test_repeats_and_effort_column(spark):
 
 
 def test_no_dated_questions_fail(spark, tiny):
-    with pytest.raises(Exception, match="No questions with a year"):
+    with pytest.raises(Exception, match="question with a year"):
         topic_stats(tiny[0], tiny[1].where("year is null"), tiny[2]).collect()
 
 
 def test_missing_columns_are_named(tiny):
-    with pytest.raises(ValueError, match="'questions' table is missing columns: \\['marks'\\]"):
+    with pytest.raises(ValueError, match="questions lacks marks"):
         topic_stats(tiny[0], tiny[1].drop("marks"), tiny[2])
 
 

@@ -49,11 +49,23 @@ def test_pairs_and_groups(spark, block):
     assert linking.repeat_pairs(items.where("false"), 0.4).count() == 0
 
 
-def test_components_of_a_chain(spark):
-    df = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "left long, right long")
-    got = {r["node"]: r["root"] for r in linking.components(df).collect()}
-    assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
-    assert linking.components(df.where("false")).count() == 0
+@pytest.mark.parametrize("one_task", [1_000_000, 3, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("lectern.scale.HOT_ROWS", 1)
+    rng = np.random.default_rng(one_task)
+    pairs = [(i, i + 1) for i in range(50)] + [(100, 101), (7, 7), (None, 3), (3, None)] + [(i, 200) for i in range(201, 260)] + [tuple(int(x) for x in rng.integers(300, 360, 2)) for _ in range(40)]
+    df = spark.createDataFrame([(*p, 1) for p in pairs], "left long, right long, root long")
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in ((a, b) for a, b in pairs if a in root and b in root and a != b):
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+    got = [tuple(r) for r in linking.components(df, one_task).collect()]
+    assert len(got) == len(root) and dict(got) == root
+    assert linking.components(df.where("false"), one_task).count() == 0
 
 
 def test_keep_first(spark):
