@@ -1,5 +1,5 @@
 """Reading level of documents: a linear pairwise ranker over syntax and vocabulary features, calibrated by isotonic
-regression (with medians, since some grades given by hand are wrong).
+regression.
 
 The ranker is fitted on pairs of graded documents and scores any stretch of text, since its features are means over
 words and sentences. A document is scored sentence by sentence; its score is the median over its sentences (weighting
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 #: Bounds of the sample the model is fitted on: graded documents (the smallest by a hash of doc_id), characters of each
 #: (longer ones aren't taken), and pairs of them the ranker sees.
 MOST_GRADED, MOST_CHARS, MOST_PAIRS = 3_000, 100_000, 200_000
-#: Cells of the score range that calibration tells apart.
-CELLS = 24
 #: Fewest words of a document that is given a level by the query.
 LEAST_WORDS = 60
 
@@ -130,29 +128,20 @@ def rank_weights(x: np.ndarray, levels: np.ndarray, most: int = MOST_PAIRS, ridg
 
 
 def isotonic(scores: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of levels to scores with the least absolute error.
-
-    Pool adjacent violators with medians, which single wrong grades don't move; one knot at either end of a pool.
-    Scores within one of CELLS equal cells of their range start as one pool, so that no step falls into a cluster.
-    """
-    known = np.unique(levels)
-    span = float(np.ptp(scores)) or 1.0
-    cells = np.minimum(((scores - scores.min()) / span * CELLS).astype(np.int64), CELLS - 1)
-    pools: list[tuple[np.ndarray, float, float]] = []
-
-    def middle(counts: np.ndarray) -> int:
-        return int(np.searchsorted(np.cumsum(counts) * 2, counts.sum()))
-
-    order = np.argsort(scores, kind="stable")
-    for cell in np.unique(cells):
-        own = order[cells[order] == cell]
-        pools.append((np.array([(levels[own] == k).sum() for k in known]), scores[own[0]], scores[own[-1]]))
-        while len(pools) > 1 and middle(pools[-2][0]) >= middle(pools[-1][0]):
-            later, earlier = pools.pop(), pools.pop()
-            pools.append((earlier[0] + later[0], earlier[1], later[2]))
-    at = [x for p in pools for x in (p[1], p[2])]
-    values = [float(known[middle(p[0])]) for p in pools for _ in range(2)]
-    return np.array(at), np.array(values)
+    """Knots of the non-decreasing fit of levels to scores with the least squared error: adjacent violators are pooled,
+    and a pool has a knot at either end. Documents of one score start as one pool."""
+    at, first = np.unique(scores, return_inverse=True)
+    size = np.bincount(first).astype(np.float64)
+    mean = np.bincount(first, weights=levels) / size
+    pools: list[tuple[float, float, float, float]] = []
+    for x, m, n in zip(at, mean, size):
+        low, value, weight = x, m, n
+        while pools and pools[-1][2] >= value:
+            earlier = pools.pop()
+            value, weight = (earlier[2] * earlier[3] + value * weight) / (earlier[3] + weight), earlier[3] + weight
+            low = earlier[0]
+        pools.append((low, x, value, weight))
+    return np.array([x for p in pools for x in p[:2]]), np.array([p[2] for p in pools for _ in range(2)])
 
 
 class Model:

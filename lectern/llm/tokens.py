@@ -8,7 +8,7 @@ from importlib import util
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Default vocabulary; the path is a parameter of every operator, and the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -18,6 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE_CHARS = 1 << 20
 
 _LOADED: dict = {}
+_SHIPPED: set = set()
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -29,12 +30,22 @@ def vocabulary_path(path: str | None = None) -> str:
     return VOCABULARY
 
 
+def shipped(spark: SparkSession, path: str) -> None:
+    """Hand the rank file to the executors of a cluster, once a session, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) in _SHIPPED or sc.master == "local" or sc.master.startswith("local[") or not Path(path).exists():
+        return
+    sc.addFile(path)
+    _SHIPPED.add((sc.applicationId, path))
+
+
 def encoder(path: str):
-    """The tokenizer of a rank file, loaded once a process."""
+    """The tokenizer of a rank file, loaded once a process: from the path, or where there is none from what was shipped."""
     if path not in _LOADED:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as lines:
+        with open(path if Path(path).exists() else SparkFiles.get(Path(path).name), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _LOADED[path] = tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -59,6 +70,7 @@ def count_tokens(text: str | None, encode) -> int:
 def with_tokens(rows: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``rows`` with ``text`` replaced by ``n_tokens`` (int)."""
     path = vocabulary_path(vocabulary)
+    shipped(rows.sparkSession, path)
     kept = [c for c in rows.columns if c != text]
     schema = ", ".join([f"`{c}` {dict(rows.dtypes)[c]}" for c in kept] + ["n_tokens int"])
 
