@@ -15,7 +15,7 @@ from lectern.plans.papers import _pages
 from lectern.plans.records import SQL as RECORD_SQL
 from lectern.schemas import DDL, REQUIRED
 from lectern.scale import shared_dir
-from lectern.sources import readers, sinks
+from lectern.sources import pdf, readers, sinks
 from lectern.sources.tables import table
 from lectern.streaming.ingest import current_notes, ingest_notes, ingest_papers
 
@@ -71,6 +71,17 @@ def q_deck(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.csv(path, header=True, multiLine=True, escape='"').toDF("front", "back", "tags")
 
 
+def q_pdf(spark: SparkSession, d: str) -> DataFrame:
+    """The notes of each document as a PDF file, and the letters and figures that are read back from it."""
+    path = _folder(spark)
+    sinks.document_files(pdf.pdf_documents(exports.markdown_pages(table(spark, d, "notes"))), path)
+    read = pdf.pdf_pages(readers.binary_files(spark, path, "*.pdf"))
+    page = F.struct("page_number", F.regexp_replace("embedded_text", "[^A-Za-z0-9]", "").alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["t"]), "")
+    found = read.groupBy(F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("int").alias("document_id")).agg(whole.alias("t"))
+    return found.select("document_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 def q_unassigned(spark: SparkSession, d: str) -> DataFrame:
     return linking.unassigned(table(spark, d, "questions")).select("id", "document_id")
 
@@ -115,7 +126,7 @@ def q_stream_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "syllabus_csv": q_syllabus, "json_records": q_json, "as_json": q_as_json, "page_sidecars": q_sidecars, "page_counts": q_page_counts, "append_rows": q_append, "year_partitions": q_by_year_table, "anki_deck_csv": q_deck,
+    "syllabus_csv": q_syllabus, "json_records": q_json, "as_json": q_as_json, "page_sidecars": q_sidecars, "page_counts": q_page_counts, "append_rows": q_append, "year_partitions": q_by_year_table, "anki_deck_csv": q_deck, "pdf_round_trip": q_pdf,
     "unassigned_questions": q_unassigned, "required_columns": q_required, "sequence_ratio": q_ratio, "char_edits": q_char_errors, "scaled_confidence": q_scaled, "stream_papers": q_stream_papers, "stream_notes": q_stream_notes,
 }
 
@@ -131,6 +142,7 @@ SQL = {
     "append_rows": "SELECT id, document_id, text, year FROM questions UNION ALL SELECT id, document_id, text, year FROM questions WHERE year = 2020",
     "year_partitions": "SELECT id, document_id, page, year FROM questions",
     "anki_deck_csv": f"SELECT front, back, tags FROM ({RECORD_SQL['anki_rows_all']})",
+    "pdf_round_trip": f"WITH m AS ({RECORD_SQL['markdown_notes']}), t AS (SELECT document_id, coalesce(string_agg(regexp_replace(markdown, '[^A-Za-z0-9]', '', 'g'), '' ORDER BY page, note_id), '') AS t FROM m WHERE document_id IS NOT NULL GROUP BY 1) SELECT document_id, length(t) AS n_chars, md5(t) AS digest FROM t",
     "unassigned_questions": "SELECT id, document_id FROM questions WHERE topic_id IS NULL",
     "required_columns": _REQUIRED,
     "char_edits": f"SELECT id, length({_NORM.format('text')}) AS n_chars, levenshtein({_NORM.format('text')}, {_NORM.format('cleaned_text')}) AS n_edits FROM questions WHERE cleaned_text IS NOT NULL",

@@ -130,12 +130,18 @@ def _text(value: object) -> str | None:
     return str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def opened(path: str) -> pa.NativeFile:
-    """The file behind a path as Spark writes it: a plain path, or a URI by Hadoop's or pyarrow's name of the system."""
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it (plain, or a URI by Hadoop's or pyarrow's name of the system), and the
+    path in its terms."""
     scheme, colon, rest = path.partition(":")
     if not colon or "/" in scheme:
-        return pafs.LocalFileSystem().open_input_file(path)
-    system, inner = pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """The file behind a path, for reading."""
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 

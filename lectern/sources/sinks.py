@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.footers import located
+
 
 def append(rows: DataFrame, path: str, *partition_by: str) -> None:
     """Add rows to a Parquet table."""
@@ -67,3 +71,19 @@ def markdown_document(parts: DataFrame, path: str, title: str) -> None:
 def anki_deck(rows: DataFrame, path: str) -> None:
     """Cards as CSV with the columns Front, Back and Tags."""
     csv_file(rows.select(F.col("front").alias("Front"), F.col("back").alias("Back"), F.col("tags").alias("Tags")), path)
+
+
+def document_files(rows: DataFrame, folder: str, suffix: str = ".pdf") -> int:
+    """One file for each row (document_id, content), named by its document, in a folder that all executors share; the
+    number of files. A task that runs again writes the same files."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, inner = located(folder)
+        system.create_dir(inner, recursive=True)
+        for b in batches:
+            for document, content in zip(b["document_id"], b["content"]):
+                with system.open_output_stream(f"{inner}/{document}{suffix}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    return rows.select("document_id", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
