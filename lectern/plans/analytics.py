@@ -246,7 +246,7 @@ SQL = {
     "coverage_summary": f"WITH {_stats_ctes(ref=2025)} SELECT count(*) AS n_topics, count(*) FILTER (n_questions > 0) AS n_topics_asked, count(*) FILTER (has_notes) AS n_topics_with_notes, (SELECT count(*) FROM vq) AS n_questions, (SELECT count(*) FROM vq WHERE topic_id IS NULL OR topic_id NOT IN (SELECT id FROM topics)) AS n_out_of_syllabus, round(100 * sum(CASE WHEN has_notes THEN expected_marks ELSE 0 END) / sum(expected_marks), 1) AS expected_marks_covered_by_notes_pct FROM st",
     "never_asked": f"WITH {_stats_ctes()} SELECT topic_id, name, syllabus_unit, has_notes FROM st WHERE n_questions = 0",
     "out_of_syllabus": f"WITH {VALID} SELECT id, year, marks, text, document_id, page FROM vq WHERE topic_id IS NULL OR topic_id NOT IN (SELECT id FROM topics)",
-    "frequent_without_notes": f"WITH {_stats_ctes(links='(SELECT * FROM note_topics WHERE topic_id % 3 = 0)')} SELECT topic_id, name, syllabus_unit, years_asked, round(year_share, 6) AS year_share, round(expected_marks, 6) AS expected_marks, max_repeat_count FROM st WHERE year_share >= 0.4 AND NOT has_notes",
+    "frequent_without_notes": f"WITH {_stats_ctes()} SELECT topic_id, name, syllabus_unit, years_asked, round(year_share, 6) AS year_share, round(expected_marks, 6) AS expected_marks, max_repeat_count FROM st WHERE year_share >= 0.4 AND NOT has_notes",
     "data_quality": "SELECT count(*) AS n_questions, count(*) FILTER (year IS NULL) AS missing_year, count(*) FILTER (marks IS NULL) AS missing_marks, count(*) FILTER (topic_id IS NULL) AS missing_topic_id FROM questions",
     "rejected_questions": f"WITH {VALID} SELECT id, year, marks, page FROM questions WHERE id NOT IN (SELECT id FROM vq)",
     "max_repeat_count": f"WITH {_stats_ctes()} SELECT topic_id, largest FROM rep",

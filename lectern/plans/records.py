@@ -377,7 +377,9 @@ SQL = {
     "upsert_topics": """WITH nw AS (SELECT topic_code, name || ' v2' AS name, syllabus_unit, id AS seq FROM topics WHERE id % 3 = 0 UNION ALL SELECT topic_code, name || ' v3', syllabus_unit, id + 1000 FROM topics WHERE id % 6 = 0 UNION ALL SELECT 'NEW' || topic_code, name, syllabus_unit, id + 2000 FROM topics WHERE id % 50 = 0),
       ls AS (SELECT topic_code, arg_max(name, seq) AS name, arg_max(syllabus_unit, seq) AS unit FROM nw GROUP BY 1), j AS (SELECT t.id, coalesce(t.topic_code, ls.topic_code) AS topic_code, coalesce(ls.name, t.name) AS name, coalesce(ls.unit, t.syllabus_unit) AS syllabus_unit FROM topics t FULL JOIN ls ON ls.topic_code = t.topic_code)
       SELECT CAST(coalesce(id, (SELECT max(id) FROM topics) + row_number() OVER (PARTITION BY id IS NULL ORDER BY topic_code)) AS INTEGER) AS id, topic_code, name, syllabus_unit FROM j""",
-    "upsert_notes": f"""WITH {_NP}, nw AS (SELECT document_id, page, upper(text) AS text, latex, 0.9 AS confidence, CASE WHEN page % 2 = 0 THEN '' ELSE lecture_date END AS lecture_date, CASE WHEN page % 4 = 0 THEN '2024-01-01' END AS taken_at, true AS hit FROM nb WHERE page % 3 = 0), od AS (SELECT * FROM nb WHERE page % 2 = 0)
+    "upsert_notes": f"""WITH {_NP}, ad AS (SELECT document_id, max(page) + 1 AS page, arg_max({{'d': lecture_date, 't': text, 'l': latex}}, page) AS r FROM nb WHERE page IS NOT NULL GROUP BY 1),
+      dl AS (SELECT document_id, page, lecture_date, text, latex FROM nb WHERE page % 3 = 0 UNION ALL SELECT document_id, page, r.d, r.t, r.l FROM ad),
+      nw AS (SELECT document_id, page, upper(text) AS text, latex, 0.9 AS confidence, CASE WHEN page % 2 = 0 THEN '' ELSE lecture_date END AS lecture_date, CASE WHEN page % 4 = 0 THEN '2024-01-01' END AS taken_at, true AS hit FROM dl), od AS (SELECT * FROM nb)
       SELECT document_id, page, coalesce(nullif(nw.lecture_date, ''), nullif(nw.taken_at, ''), od.lecture_date) AS lecture_date, CASE WHEN hit THEN nw.text ELSE od.text END AS text, CASE WHEN hit THEN nw.latex ELSE od.latex END AS latex, CASE WHEN hit THEN nw.confidence ELSE od.confidence END AS confidence FROM od FULL JOIN nw USING (document_id, page)""",
     "save_children_defaults": "SELECT q.id, q.document_id, coalesce(q.year, d.year) AS year, coalesce(q.exam_type, d.exam_type) AS exam_type FROM questions q LEFT JOIN source_documents d ON d.id = q.document_id",
     "integrity_check": "SELECT id, document_id FROM questions WHERE document_id NOT IN (SELECT id FROM source_documents)",
