@@ -25,7 +25,7 @@ from lectern.llm.grouping import connected_groups
 from lectern.scale import cut, parts_for, release, skew_safe_join
 
 #: Trees, minima (levels) of each, and following trees whose bits stand in a leaf (8 bits each, 8 trees at most).
-TREES, DEPTH, LEAF_TREES = 32, 8, 8
+TREES, DEPTH, LEAF_TREES = 32, 8, 6
 POOL = TREES * DEPTH
 #: Share of pairs at the threshold that the screen of a leaf may drop; each tree draws other bits, so this isn't lost for good.
 LEAF_LOSS = 0.04
@@ -213,7 +213,7 @@ def _tree_blocks(sets: DataFrame, level: int, parts: int) -> DataFrame:
                 if cuts[p] < cuts[p + 1]:
                     at = slice(cuts[p], cuts[p + 1])
                     pieces[p].append((tree, path[at], own[at], leaf[at]))
-        out += [(p, ENTRIES, _pack(x)) for p, x in enumerate(pieces) if x]
+        out += [(p, ENTRIES, _pack(x, level)) for p, x in enumerate(pieces) if x]
         known = np.concatenate([doc, h.view(np.int64), bare, sketches(bits).view("<i8")[:, 0], sketches(bits).view("<i8")[:, 1]]).astype("<i8").tobytes()
         out.append((int(h[0] % np.uint64(parts)), KNOWN, known))
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["part", "kind", "data"])
@@ -221,28 +221,31 @@ def _tree_blocks(sets: DataFrame, level: int, parts: int) -> DataFrame:
     return sets.mapInArrow(run, "part int, kind int, data binary")
 
 
-def _pack(pieces: list[tuple]) -> bytes:
-    """Tree entries byte column by byte column, so that sorted paths and the high bytes of ids compress."""
+def _pack(pieces: list[tuple], level: int) -> bytes:
+    """Tree entries, their paths shortened to ``level``, byte column by byte column, so that sorted paths and the high bytes
+    of ids compress."""
     docs = np.concatenate([x[2] for x in pieces])
     wide = 8 if docs.min() < 0 or docs.max() >= 1 << 32 else 4
     counts = np.zeros(TREES, dtype="<u4")
     for x in pieces:
         counts[x[0]] = len(x[1])
-    by_column = lambda a, width: np.ascontiguousarray(a.view(np.uint8).reshape(len(a), width).T).tobytes()
-    coded = by_column(np.concatenate([x[1] for x in pieces]).astype(">u8"), 8) + by_column(docs.astype("<u4" if wide == 4 else "<i8"), wide)
+    by_column = lambda a, width, kept: np.ascontiguousarray(a.view(np.uint8).reshape(len(a), width)[:, :kept].T).tobytes()
+    coded = by_column(np.concatenate([x[1] for x in pieces]).astype(">u8"), 8, level) + by_column(docs.astype("<u4" if wide == 4 else "<i8"), wide, wide)
     leaves = np.concatenate([x[3] for x in pieces]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LEAF_TREES].tobytes()  # as good as random
     squeezed = pa.Codec("zstd", 1).compress(coded, asbytes=True)
     return bytes([wide]) + counts.tobytes() + len(squeezed).to_bytes(4, "little") + squeezed + leaves
 
 
-def _unpack(block: bytes) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _unpack(block: bytes, level: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(tree, paths, ids, leaf bits) of each tree in a packed block."""
     wide, counts = block[0], np.frombuffer(block, "<u4", TREES, 1).astype(np.int64)
     at, n = 1 + 4 * TREES, int(counts.sum())
     size = int.from_bytes(block[at : at + 4], "little")
-    coded = np.frombuffer(pa.decompress(block[at + 4 : at + 4 + size], decompressed_size=(8 + wide) * n, codec="zstd", asbytes=True), np.uint8)
-    paths = np.ascontiguousarray(coded[: 8 * n].reshape(8, n).T).view(">u8")[:, 0].astype(np.uint64)
-    docs = np.ascontiguousarray(coded[8 * n :].reshape(wide, n).T).view("<u4" if wide == 4 else "<i8")[:, 0].astype(np.int64)
+    coded = np.frombuffer(pa.decompress(block[at + 4 : at + 4 + size], decompressed_size=(level + wide) * n, codec="zstd", asbytes=True), np.uint8)
+    held = np.zeros((n, 8), dtype=np.uint8)
+    held[:, :level] = coded[: level * n].reshape(level, n).T
+    paths = held.view(">u8")[:, 0].astype(np.uint64)
+    docs = np.ascontiguousarray(coded[level * n :].reshape(wide, n).T).view("<u4" if wide == 4 else "<i8")[:, 0].astype(np.int64)
     leaf = np.zeros((n, 8), dtype=np.uint8)
     leaf[:, :LEAF_TREES] = np.frombuffer(block, np.uint8, LEAF_TREES * n, at + 4 + size).reshape(n, LEAF_TREES)
     ends = np.cumsum(counts)
@@ -290,7 +293,7 @@ def _nodes(blocks: DataFrame, level: int, parts: int, threshold: float) -> DataF
             for kind, block in zip(batch["kind"].to_pylist(), batch["data"]):
                 data = block.as_py()
                 if kind == ENTRIES:
-                    for tree, *columns in _unpack(data):
+                    for tree, *columns in _unpack(data, level):
                         found.setdefault(tree, []).append(columns)
                 elif kind == LARGE:
                     large.append(np.frombuffer(data, "<i8").view(np.uint64))

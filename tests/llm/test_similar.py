@@ -125,7 +125,7 @@ def test_recall_right_at_the_threshold(shared, size):
     m = signatures(np.concatenate(sets).astype(np.uint32), np.arange(2 * n + 1) * size)
     paths = tree_paths(m) >> np.uint64(8 * (similar.DEPTH - shortened_prefix(0.7, 0.92)))
     bits, least = one_bits(m), least_agreeing(8 * similar.LEAF_TREES, 0.7, similar.LEAF_LOSS)
-    found_in = np.array([(paths[t, ::2] == paths[t, 1::2]) & (64 - np.bitwise_count(leaf_bits(bits, t)[::2] ^ leaf_bits(bits, t)[1::2]) >= least) for t in range(similar.TREES)])
+    found_in = np.array([(paths[t, ::2] == paths[t, 1::2]) & (8 * similar.LEAF_TREES - np.bitwise_count(leaf_bits(bits, t)[::2] ^ leaf_bits(bits, t)[1::2]) >= least) for t in range(similar.TREES)])
     sketch = sketches(bits).view(np.uint64)
     close = np.bitwise_count(sketch[::2] ^ sketch[1::2]).sum(axis=1) <= screen_bits(0.7)
     assert (found_in.any(axis=0) & close).mean() > 0.9
@@ -135,8 +135,10 @@ def test_packed_entries_come_back():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 1 << 31, 50), rng.integers(-5, 1 << 62, 50)):
         pieces = [(t, np.sort(rng.integers(0, 1 << 63, 25).astype(np.uint64)), ids[k : k + 25], rng.integers(0, 1 << 63, 25).astype(np.uint64)) for t, k in ((0, 0), (similar.TREES - 1, 25))]
-        for (t, path, doc, leaf), want in zip(similar._unpack(similar._pack(pieces)), pieces):
-            assert t == want[0] and (path == want[1]).all() and (doc == want[2]).all() and (leaf == want[3]).all()
+        for level in (1, 7, 8):
+            cut, kept = np.uint64(8 * (8 - level)), np.uint64((1 << 8 * similar.LEAF_TREES) - 1)
+            for (t, path, doc, leaf), want in zip(similar._unpack(similar._pack(pieces, level), level), pieces):
+                assert t == want[0] and (path >> cut == want[1] >> cut).all() and (doc == want[2]).all() and (leaf == want[3] & kept).all()
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
