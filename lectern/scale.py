@@ -90,6 +90,20 @@ def skew_safe_join(big: DataFrame, key: str, small: DataFrame, total: int) -> Da
     return big.where(is_hot).join(F.broadcast(small.where(is_hot)), key).unionByName(big.where(~is_hot).join(small, key))
 
 
+#: Bytes of a source that a core is given at least, before rows are spread for the sake of the cores.
+CORE_BYTES = 4 << 20
+
+
+def all_cores(df: DataFrame) -> DataFrame:
+    """The rows over all cores where their source is so small that it has fewer splits than that; others as they are.
+
+    For steps that cost far more CPU than their bytes cost a shuffle. A source of any size worth a cluster isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * CORE_BYTES else df
+
+
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
     """Number of partitions so that each holds about ``per_part`` rows."""
     return max(least, -(-rows // per_part))

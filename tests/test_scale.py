@@ -61,3 +61,12 @@ def test_tables_are_shared_between_executors(tmp_path):
     (tmp_path / "shared").mkdir()
     ran = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path / "shared")], env=env, capture_output=True, text=True, timeout=300, check=False)
     assert "ROWS 200" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_small_sources_use_all_cores(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    assert scale.all_cores(small).rdd.getNumPartitions() == cores and scale.all_cores(small).count() == 1000
+    large = spark.range(10_000_000).selectExpr("id", "repeat('x', 100) as t")
+    assert scale.all_cores(large) is large
