@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.scale import all_cores
+
 #: Bounds of the sample the model is fitted on: graded documents (the smallest by a hash of doc_id), characters of each
 #: (longer ones aren't taken), and pairs of them the ranker sees.
 MOST_GRADED, MOST_CHARS, MOST_PAIRS = 3_000, 100_000, 200_000
@@ -198,7 +200,7 @@ def reading_levels(documents: DataFrame, graded: DataFrame, most_graded: int = M
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["lang"], b["source"], pa.array([len(t.split()) for t in texts], pa.int32()), pa.array(scores, pa.float64()), pa.array(levels, pa.int32())], names=["doc_id", "lang", "source", "n_words", "score", "level"])
 
     rows = documents.where("doc_id is not null and text <> ''").where(only or "true").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, n_words int, score double, level int")
+    return all_cores(rows).mapInArrow(run, "doc_id long, lang string, source string, n_words int, score double, level int")
 
 
 def level_profile(levels: DataFrame) -> DataFrame:

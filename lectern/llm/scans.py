@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.scale import cut, release
+from lectern.scale import all_cores, cut, release
 
 LABELS = ("body", "break", "header", "number")
 #: Bounds of the sample the line model is fitted on: transcripts (the smallest by a hash of note_id) and characters of a
@@ -493,7 +493,7 @@ def fitted_model(notes: DataFrame, transcripts: DataFrame, most: int = MOST_TRAN
 
 def _records(questions: DataFrame, notes: DataFrame) -> DataFrame:
     own = lambda df, name: df.where("id is not null and text <> ''").select(F.lit(name).alias("source_table"), F.col("id").cast("int").alias("record_id"), F.col("page").cast("int").alias("page"), "text")
-    return own(questions, "questions").unionByName(own(notes, "notes"))
+    return all_cores(own(questions, "questions")).unionByName(all_cores(own(notes, "notes")))
 
 
 FIRST = "source_table string, record_id int, page int, text string, defects array<string>, asked array<string>, breaks array<struct<joined: string, hyphened: string, hyphen: boolean, unknown: boolean>>, clean_text string"

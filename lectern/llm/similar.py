@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.grouping import connected_groups
-from lectern.scale import cut, parts_for, release, skew_safe_join
+from lectern.scale import all_cores, cut, parts_for, release, skew_safe_join
 
 #: Trees, minima (levels) of each, and following trees whose bits stand in a leaf (8 bits each, 8 trees at most).
 TREES, DEPTH, LEAF_TREES = 32, 8, 6
@@ -141,7 +141,7 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def word_sets(texts: DataFrame) -> DataFrame:
     """(doc, words, bare): hashed distinct words and hashed bare text of (doc, text); texts without a word are left out."""
-    words = texts.where(F.col("text").isNotNull() & F.col("doc").isNotNull()).select(F.col("doc").cast("long").alias("doc"), F.expr(WORDS).alias("w"), F.expr(f"xxhash64({BARE})").alias("bare"))
+    words = all_cores(texts.where(F.col("text").isNotNull() & F.col("doc").isNotNull()).select("doc", "text")).select(F.col("doc").cast("long").alias("doc"), F.expr(WORDS).alias("w"), F.expr(f"xxhash64({BARE})").alias("bare"))
     return words.where(F.size("w") > 0).select("doc", F.expr("transform(w, x -> xxhash64(x))").alias("words"), "bare")
 
 

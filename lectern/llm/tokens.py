@@ -10,6 +10,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.scale import all_cores
+
 #: Default vocabulary; the path is a parameter of every operator, and the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenizer pattern of that vocabulary, a fixed value.
@@ -80,4 +82,4 @@ def with_tokens(rows: DataFrame, text: str = "text", vocabulary: str | None = No
             counts = pa.array([count_tokens(t.as_py(), encode) for t in b[text]], pa.int32())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), counts], names=[*kept, "n_tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return all_cores(rows).mapInArrow(run, schema)
