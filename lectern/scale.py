@@ -91,7 +91,7 @@ def skew_safe_join(big: DataFrame, key: str, small: DataFrame, total: int) -> Da
 
 
 #: Bytes of a source that a core is given at least, before rows are spread for the sake of the cores.
-CORE_BYTES = 4 << 20
+CORE_BYTES = 1 << 20
 
 
 def all_cores(df: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def all_cores(df: DataFrame) -> DataFrame:
     For steps that cost far more CPU than their bytes cost a shuffle. A source of any size worth a cluster isn't moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))  # whole files, not the columns read
     return df.repartition(cores) if size < cores * CORE_BYTES else df
 
 
