@@ -90,19 +90,23 @@ def skew_safe_join(big: DataFrame, key: str, small: DataFrame, total: int) -> Da
     return big.where(is_hot).join(F.broadcast(small.where(is_hot)), key).unionByName(big.where(~is_hot).join(small, key))
 
 
-#: Bytes of a source that a core is given at least, before rows are spread for the sake of the cores.
+#: Bytes of a source a core has at least where rows aren't spread for the sake of the cores.
 CORE_BYTES = 1 << 20
 
 
 def all_cores(df: DataFrame) -> DataFrame:
-    """The rows over all cores where their source is so small that it has fewer splits than that; others as they are.
+    """The rows over all cores where they come from a small source with fewer splits than that; others as they are.
 
-    For steps that cost far more CPU than their bytes cost a shuffle. A source of any size worth a cluster isn't moved.
+    For steps that cost far more CPU than their bytes cost a shuffle. A source of any size worth a cluster isn't moved,
+    and rows that have been shuffled already are left to the adaptive plan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    plan = df._jdf.queryExecution()
+    leaves = plan.optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))  # whole files, not the columns read
-    return df.repartition(cores) if size < cores * CORE_BYTES else df
+    if size >= cores * CORE_BYTES or plan.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
